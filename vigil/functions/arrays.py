@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, f) -> Column:  # noqa: ANN001
+    """f(value), with value computed once: an expression inside a lambda is computed for every element otherwise."""
+    return F.transform(F.array(value), f)[0]
+
+
 def total(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + x)
 
@@ -22,7 +27,7 @@ def moment(v: Column, m: Column, k: int) -> Column:
 
 
 def variance(v: Column) -> Column:
-    return moment(v, mean(v), 2)
+    return let(mean(v), lambda m: moment(v, m, 2))
 
 
 def rms(v: Column) -> Column:
@@ -31,14 +36,14 @@ def rms(v: Column) -> Column:
 
 def skewness(v: Column) -> Column:
     """Population form; 0 without spread."""
-    m, s = mean(v), variance(v)
-    return F.when(s > 0, moment(v, m, 3) / F.pow(s, 1.5)).otherwise(0.0)
+    with_mean = lambda m: let(moment(v, m, 2), lambda s: F.when(s > 0, moment(v, m, 3) / F.pow(s, 1.5)).otherwise(0.0))
+    return let(mean(v), with_mean)
 
 
 def kurtosis(v: Column) -> Column:
     """Excess, population form; 0 without spread."""
-    m, s = mean(v), variance(v)
-    return F.when(s > 0, moment(v, m, 4) / (s * s) - 3).otherwise(0.0)
+    with_mean = lambda m: let(moment(v, m, 2), lambda s: F.when(s > 0, moment(v, m, 4) / (s * s) - 3).otherwise(0.0))
+    return let(mean(v), with_mean)
 
 
 def skewness_corrected(v: Column, floor: float = 1e-12) -> Column:
@@ -72,11 +77,15 @@ def mean_squared_step(v: Column) -> Column:
 
 def quantile(v: Column, q: float) -> Column:
     """Linear between order statistics."""
-    s = F.array_sort(v)
     h = (F.size(v) - 1) * F.lit(q)
     lo = F.floor(h).cast("int")
-    a, b = F.get(s, lo), F.get(s, F.least(lo + 1, F.size(v) - 1))
-    return a + (b - a) * (h - lo)
+
+    def between(s: Column) -> Column:
+        a, b = F.get(s, lo), F.get(s, F.least(lo + 1, F.size(s) - 1))
+        return a + (b - a) * (h - lo)
+
+    # sort_array compares inside the JVM; array_sort would call a lambda for each comparison
+    return let(F.sort_array(v), between)
 
 
 def median(v: Column) -> Column:
@@ -85,9 +94,8 @@ def median(v: Column) -> Column:
 
 def noise_floor(v: Column) -> Column:
     """Median absolute deviation of the steps, scaled to a standard deviation, over root two."""
-    d = neighbours(v, lambda a, b: b - a)
-    m = median(d)
-    return median(F.transform(d, lambda x: F.abs(x - m))) * (1.4826 / 2**0.5)
+    around = lambda d: let(median(d), lambda m: median(F.transform(d, lambda x: F.abs(x - m))))
+    return let(neighbours(v, lambda a, b: b - a), around) * (1.4826 / 2**0.5)
 
 
 def segment_means(v: Column, parts: int) -> Column:
@@ -97,12 +105,11 @@ def segment_means(v: Column, parts: int) -> Column:
 
 
 def baseline_stability(v: Column, parts: int) -> Column:
-    return F.sqrt(variance(segment_means(v, parts)))
+    return F.sqrt(let(segment_means(v, parts), variance))
 
 
 def log_snr(v: Column) -> Column:
-    f = noise_floor(v)
-    return F.log10(variance(v) / F.greatest(f * f, F.lit(1e-12)) + 1e-12)
+    return let(noise_floor(v), lambda f: F.log10(variance(v) / F.greatest(f * f, F.lit(1e-12)) + 1e-12))
 
 
 def change_rate(v: Column) -> Column:
@@ -134,21 +141,23 @@ def run_lengths(v: Column) -> Column:
 def linearity(v: Column) -> Column:
     """Squared correlation of the samples with their index; 1 without spread."""
     n = F.size(v)
-    m, c = mean(v), (n - 1) / F.lit(2.0)
-    index = F.sequence(F.lit(0), n - 1)
-    sxy = total(F.zip_with(v, index, lambda x, i: (x - m) * (i - c)))
     sxx = n * (n * n - 1.0) / 12.0
-    syy = variance(v) * n
-    return F.when(syy > 0, sxy * sxy / (sxx * syy)).otherwise(1.0)
+
+    def fit(m: Column) -> Column:
+        c = (n - 1) / F.lit(2.0)
+        sxy = total(F.transform(v, lambda x, i: (x - m) * (i - c)))
+        syy = moment(v, m, 2) * n
+        return F.when(syy > 0, sxy * sxy / (sxx * syy)).otherwise(1.0)
+
+    return let(mean(v), fit)
 
 
 def allan_deviation(v: Column, m: int, fs: float = 1.0) -> Column:
     """Overlapping Allan deviation for clusters of ``m`` samples at ``fs`` a second, from second differences of the running sum."""
-    sums = F.aggregate(v, F.array(F.lit(0.0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
     n = F.size(v) - 2 * m + 1
-    index = F.sequence(F.lit(0), n - 1)
-    squares = F.transform(index, lambda i: F.pow((F.get(sums, i + 2 * m) - 2 * F.get(sums, i + m) + F.get(sums, i)) / m, 2.0))
-    return F.sqrt(total(squares) / (2.0 * n))
+    sums = F.aggregate(v, F.array(F.lit(0.0)), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+    squares = lambda s: total(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.pow((F.get(s, i + 2 * m) - 2 * F.get(s, i + m) + F.get(s, i)) / m, 2.0)))
+    return F.sqrt(let(sums, squares) / (2.0 * n))
 
 
 def power_spectrum(v: Column, n: int) -> Column:

@@ -16,7 +16,8 @@ def onsets(active: Column, order: str = "seq", key: str = KEY) -> Column:
 def horizon_labels(rows: DataFrame, horizon_ms: int, order: str = "seq", key: str = KEY) -> DataFrame:
     """Adds label: 2 where active, 1 up to ``horizon_ms`` before an onset, else 0."""
     marked = rows.withColumn("onset", onsets(F.col("active"), order, key))
-    ahead = Window.partitionBy(key).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
+    # later rows come first in descending order, so the minimum runs along and no frame is computed anew
+    ahead = Window.partitionBy(key).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
     soon = F.min(F.when(F.col("onset"), F.col("ts_ms"))).over(ahead) - F.col("ts_ms")
     return marked.withColumn("label", F.when(F.col("active"), 2).when(soon <= horizon_ms, 1).otherwise(0))
 

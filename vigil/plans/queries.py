@@ -789,8 +789,8 @@ def brb_allan(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def brb_quality(spark: SparkSession, sf: str) -> DataFrame:
     v = F.col("v")
-    step = A.neighbours(v, lambda a, b: b - a)
-    snr = 10 * F.log10(A.variance(v) / (A.variance(step) / 2))
+    step = A.let(A.neighbours(v, lambda a, b: b - a), A.variance)
+    snr = 10 * F.log10(A.variance(v) / (step / 2))
     return D.windows64(spark, sf).select("win_no", r(A.noise_floor(v)).alias("noise_floor"), r(A.baseline_stability(v, 4)).alias("stability"), r(F.greatest(F.least(snr, F.lit(60.0)), F.lit(-60.0))).alias("snr"))
 
 
@@ -812,8 +812,7 @@ def brb_peaks(spark: SparkSession, sf: str) -> DataFrame:
     """Variation of the peak-to-peak range over half-overlapping segments of an eighth of the window."""
     size, step = 8, 4
     ranges = F.array(*[F.array_max(F.slice("v", a + 1, size)) - F.array_min(F.slice("v", a + 1, size)) for a in range(0, 64 - size + 1, step)])
-    m = A.mean(ranges)
-    return D.windows64(spark, sf).select("win_no", r(F.sqrt(A.variance(ranges)) / (m + 1e-12)).alias("peak_consistency"))
+    return D.windows64(spark, sf).select("win_no", r(A.let(ranges, lambda p: F.sqrt(A.variance(p)) / (A.mean(p) + 1e-12))).alias("peak_consistency"))
 
 
 @query
@@ -822,7 +821,9 @@ def interp_nonfinite(spark: SparkSession, sf: str) -> DataFrame:
     rows = D.samples(spark, sf).withColumn("g", F.when(F.col("event_id") % 9 != 4, F.col("x")))
     w = Window.partitionBy("recording_id").orderBy("seq")
     known = F.when(F.col("g").isNotNull(), F.struct("seq", "g"))
-    rows = rows.withColumn("a", F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("b", F.first(known, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    rows = rows.withColumn("a", F.last(known, True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    back = Window.partitionBy("recording_id").orderBy(F.desc("seq"))
+    rows = rows.withColumn("b", F.last(known, True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     share = (F.col("seq") - F.col("a.seq")) / (F.col("b.seq") - F.col("a.seq"))
     line = F.col("a.g") + (F.col("b.g") - F.col("a.g")) * share
     filled = F.coalesce("g", F.when(F.col("a").isNull(), F.col("b.g")).when(F.col("b").isNull(), F.col("a.g")).otherwise(line))
