@@ -32,12 +32,15 @@ CLOSES_LIKE = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup signin login register paywall sidebar side rail widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs crumbs topbar masthead footer foot colophon comment comments commentlist disqus reply replies respond discussion share sharing social follow related recommended recommendations recommendation suggestions trending popular pagination pager search toolbar skip hidden copyright legal disclaimer tagcloud tags outbrain taboola".split()
 )
-HEADER_NAMES = frozenset("header head site".split())
+HEADERS = frozenset("header head".split())
+HEADER_NAMES = HEADERS | frozenset("site page top global main wrapper container inner".split())
+#: Words that make a name tell about a part rather than be one, as in with-sidebar.
+ABOUT = frozenset("with has no without".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 ARTICLE = frozenset("article main".split())
 ARTICLE_NAMES = frozenset("article post entry story content main maincontent articlebody body text".split())
 
-LINKED, OUTSIDE, SHARE = 0.75, 0.08, 0.04
+LINKED, OUTSIDE, SHARE = 0.75, 0.08, 0.12
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?", re.S)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -81,9 +84,9 @@ def _element(tag: str, attributes: str, parent: Element | None) -> Element:
     skipped = tag in SKIPPED or role in ROLES or "display:none" in style or "visibility:hidden" in style or "hidden" in values or values.get("aria-hidden") == "true"
     block = tag not in INLINE and tag not in ("html", "body") and tag not in HEADINGS
     if block or tag in ("a", "span"):
-        skipped |= bool(words & NAMES) and tag not in ARTICLE
+        skipped |= bool(words & NAMES) and not words & ABOUT and tag not in ARTICLE
     if block and not inside:
-        skipped |= tag == "header" or bool(words) and words <= HEADER_NAMES
+        skipped |= tag == "header" or bool(words & HEADERS) and words <= HEADER_NAMES
     article = inside or tag in ARTICLE or role in ("main", "article") or "articlebody" in values.get("itemprop", "").lower() or block and bool(words) and words <= ARTICLE_NAMES
     step = tag + "".join(f".{w}" for w in sorted(words) if not w.isdigit())
     return Element(tag, step, skipped or parent is not None and parent.skipped, article)
@@ -200,14 +203,14 @@ def blocks(page: str) -> list[Block]:
 
 
 def _near(a: tuple[str, ...], b: tuple[str, ...]) -> float:
-    """Weight of path b in the smoothing of path a: by half for every step apart, 0 from four on."""
+    """Weight of path b in the smoothing of path a: by half for every step apart, 0 from six on."""
     same = 0
     for x, y in zip(a, b, strict=False):
         if x != y:
             break
         same += 1
     apart = len(a) + len(b) - 2 * same
-    return 0.5**apart if apart < 4 else 0.0
+    return 0.5**apart if apart < 6 else 0.0
 
 
 def main_text(page: str | None) -> str:
