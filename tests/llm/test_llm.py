@@ -249,6 +249,10 @@ def test_page_parts():
       <div class="ad">Buy</div><script>if (a < b) { x("</p>") }</script><!-- no <p>comment</p> --></div><div class="sidebar"><p>Other stories, long ones, with commas, and more of it.</p></div>
       <section class="comments"><p>I disagree, sir.</p></section><footer>&copy; 2024</footer></body></html>"""
     assert html_text.main_text(page) == "A & B First bold text here <3. Short. one two"
+    plain = "".join(f"<p>Paragraph {i} of the story goes on, with some length, and ends here at last.</p>" for i in range(8))
+    links = "".join(f"<li><a href=/{i}>Section {i}</a></li>" for i in range(20))
+    bare = f"<body><div id=site class=with-sidebar><ul>{links}</ul><div><h2>Heading</h2>{plain}<ul><li>an item of the list, in words</li></ul></div><div class=x><div><span>All rights</span></div></div></div></body>"
+    assert html_text.main_text(bare) == "Heading " + re.sub("<[^>]+>", " ", plain).replace("  ", " ").strip() + " an item of the list, in words"
     for empty in (None, "", "<nav>a</nav>", "<p>   </p>", "<!-- x", "<script>alert(1)"):
         assert html_text.main_text(empty) == ""
     assert html_text.main_text("just text") == "just text"
