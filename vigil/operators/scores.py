@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vigil.config import NUMERIC_FLOOR, RELATIVE_TOLERANCE, Z_CLIP, ReferenceConfig
+from vigil.functions.arrays import let
 
 REFERENCE = ReferenceConfig()
 
@@ -119,7 +120,20 @@ def composite_weight(expert: Column, reliability: Column) -> Column:
     return expert / F.greatest(1 + expert - reliability, F.lit(1e-12))
 
 
-def running(values: Column, state: Column, step) -> Column:  # noqa: ANN001
-    """Array of step(state, x) results, each the state for the next: a sequential recursion inside the JVM."""
-    start = F.struct(state.alias("s"), F.array().cast("array<double>").alias("out"))
-    return F.aggregate(values, start, lambda a, x: F.struct(step(a["s"], x).alias("s"), F.concat(a["out"], F.array(step(a["s"], x))).alias("out")))["out"]
+def running(values: Column, state: Column, step, block: int = 256) -> Column:  # noqa: ANN001
+    """Array of step(state, x) results, each the state for the next: a sequential recursion inside the JVM.
+
+    Results are gathered in blocks, so that what is copied grows with the block and not with the whole array.
+    """
+    empty = F.array().cast("array<double>")
+    pair = lambda s, out: F.struct(s.alias("s"), out.alias("out"))
+
+    def one(acc: Column, x: Column) -> Column:
+        return let(step(acc["s"], x), lambda y: pair(y, F.concat(acc["out"], F.array(y))))
+
+    def many(acc: Column, part: Column) -> Column:
+        return let(F.aggregate(part, pair(acc["s"], empty), one), lambda i: pair(i["s"], F.concat(acc["out"], F.array(i["out"]))))
+
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / block).cast("int") - 1, F.lit(0)))
+    parts = F.transform(starts, lambda k: F.slice(values, k * block + 1, block))
+    return F.flatten(F.aggregate(parts, pair(state, F.array().cast("array<array<double>>")), many)["out"])
