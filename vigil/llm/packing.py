@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,8 +30,8 @@ CAPACITY = 4096
 END_ID = 2
 GROUP_TOKENS = 1 << 20
 LINEAR, QUADRATIC = 1.0, 1.0 / 4096
-_CACHE_WORDS = 500_000
-_BLANKS = str.maketrans({c: " " for c in "\t\n\x0b\x0c\r"})
+_CACHE_WORDS = 1_000_000
+_BLANKS = "\n\t\r\x0b\x0c"
 _SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _ARROW = pa.schema([(x.split()[0], pa.int64()) for x in _SCHEMA.split(", ")])
 
@@ -48,25 +49,37 @@ class WordTokens(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.raw = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        #: Runs of marks met after words.
+        self.marks: dict[str, bytes] = {}
         self.direct = self._same_as_model()
         self[""] = b""
 
+    def _bytes(self, ids: list[int]) -> bytes:
+        raw = self.raw
+        return b"".join([raw[i] for i in ids])
+
     def _same_as_model(self) -> bool:
         probe = ["A", "Straße", "États", "nguyễn", "word", "ÿ", "þorn", "niño", "x.", "Ü!!", "mañana$$$", "c'est"]
         return all(self._encode(w) == self._through(w) for w in probe)
 
     def _through(self, word: str) -> bytes:
-        return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return self._bytes(self.tokenizer.encode(word, add_special_tokens=False).ids)
 
     def _encode(self, word: str) -> bytes:
         m = _PLAIN.fullmatch(word)
         if not m:
             return self._through(word)
-        model = self.tokenizer.model.tokenize
-        ids = [t.id for t in model(m[1].lower().translate(_AS_BYTES))]
-        if m[2]:
-            ids += [t.id for t in model(m[2])]
-        return np.array(ids, dtype="<u4").tobytes()
+        letters, marks = m.groups()
+        letters = letters.lower()
+        model = self.model.tokenize
+        out = self._bytes([t.id for t in model(letters if letters.isascii() else letters.translate(_AS_BYTES))])
+        if marks:
+            if marks not in self.marks:
+                self.marks[marks] = self._bytes([t.id for t in model(marks)])
+            out += self.marks[marks]
+        return out
 
     def __missing__(self, word: str) -> bytes:
         out = self._encode(word) if self.direct else self._through(word)
@@ -74,9 +87,31 @@ class WordTokens(dict):
             self[word] = out
         return out
 
+    def batch(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts of a string column, one after another, and the place where each text's begin and end.
+
+        Arrow finds the different words of the batch; only these are looked up, and their ids are then copied to where
+        the words stand.
+        """
+        column = pc.fill_null(column.cast(pa.large_string()), "")
+        for c in _BLANKS:
+            column = pc.replace_substring(column, c, " ")
+        split = pc.split_pattern(column, " ")
+        words = pc.dictionary_encode(split.flatten())
+        ids = [self[w] for w in words.dictionary.to_pylist()]
+        size = np.array([len(x) // 4 for x in ids], dtype=np.int64)
+        start = np.concatenate(([0], np.cumsum(size)))
+        joined = np.frombuffer(b"".join(ids), dtype="<u4")
+        at = words.indices.to_numpy(zero_copy_only=False)
+        n = size[at]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        place = np.repeat(start[at] - ends[:-1], n) + np.arange(ends[-1])
+        cuts = np.asarray(split.offsets)
+        return joined[place], ends[cuts - cuts[0]]
+
     def text(self, text: str) -> bytes:
-        """Its ids as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self.__getitem__, text.translate(_BLANKS).split(" ")))
+        """Ids of one text as little-endian unsigned 32-bit integers."""
+        return self.batch(pa.array([text], pa.large_string()))[0].tobytes()
 
 
 def _stand_ins() -> dict[int, str]:
@@ -151,15 +186,14 @@ def _pack(path: str, capacity: int, group_tokens: int):
             return pa.record_batch([pa.array(c, pa.int64()) for c in columns], schema=_ARROW)
 
         for batch in batches:
-            for a in range(0, batch.num_rows, 100):
-                part = batch.slice(a, 100)
-                for i, t in zip(part["doc_id"].to_pylist(), part["text"].to_pylist(), strict=True):
-                    ids.append(i)
-                    docs.append(encode.text(t or "") + end)
-                    size += len(docs[-1]) // 4
-                    if size >= group_tokens:
-                        yield flush()
-                        ids, docs, size = [], [], 0
+            found, cuts = encode.batch(batch["text"])
+            for i, a, b in zip(batch["doc_id"].to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                ids.append(i)
+                docs.append(found[a:b].tobytes() + end)
+                size += b - a + 1
+                if size >= group_tokens:
+                    yield flush()
+                    ids, docs, size = [], [], 0
         if docs:
             yield flush()
 
