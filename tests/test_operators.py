@@ -23,9 +23,11 @@ def one(spark, values, column):
     return spark.createDataFrame([([float(v) for v in values],)], "v array<double>").select(column.alias("y")).first()["y"]
 
 
-def test_windows_drop_what_does_not_fill(spark):
-    rows = W.sliding_windows(samples(spark, range(23)), 8, 4).orderBy("win_no").collect()
-    assert [(r["win_no"], r["end_ts"], r["v"]) for r in rows] == [(k + 1, (8 + 4 * k - 1) * 10, [float(x) for x in range(4 * k, 4 * k + 8)]) for k in range(4)]
+@pytest.mark.parametrize("stride", [1, 3, 4, 8, 11])
+def test_windows_drop_what_does_not_fill(spark, stride):
+    rows = W.sliding_windows(samples(spark, range(23)), 8, stride).orderBy("win_no").collect()
+    want = [(k + 1, (8 + stride * k - 1) * 10, [float(x) for x in range(stride * k, stride * k + 8)]) for k in range((23 - 8) // stride + 1)]
+    assert [(r["win_no"], r["end_ts"], r["v"]) for r in rows] == want
     assert W.sliding_windows(samples(spark, range(5)), 8, 4).count() == 0
 
 

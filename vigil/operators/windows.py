@@ -29,12 +29,20 @@ def sliding_windows(rows: DataFrame, size: int, stride: int, values: tuple[str,
 
     A window ends at sample ``size`` and every ``stride`` samples after; what doesn't fill a window is dropped.
     """
-    # sample n lies in windows k (from 0) with k * stride < n <= k * stride + size
-    first = F.greatest(F.ceil((F.col("seq") - size) / stride), F.lit(0))
-    last = F.floor((F.col("seq") - 1) / stride)
-    spread = rows.select(key, "seq", "ts_ms", *values, F.explode(F.sequence(first, last)).alias("k"))
     held = F.struct("seq", "ts_ms", *values)
-    grouped = spread.groupBy(key, "k").agg(F.array_sort(F.collect_list(held)).alias("s")).where(F.size("s") == size)
+    if size % stride == 0:
+        # blocks of one stride first: each sample is sent once, and only whole blocks go to the windows that hold them
+        many = size // stride
+        block = F.floor((F.col("seq") - 1) / stride)
+        blocks = rows.groupBy(key, block.alias("b")).agg(F.sort_array(F.collect_list(held)).alias("s")).where(F.size("s") == stride)
+        spread = blocks.select(key, "s", F.explode(F.sequence(F.greatest(F.col("b") - (many - 1), F.lit(0)), F.col("b"))).alias("k"))
+        grouped = spread.groupBy(key, "k").agg(F.flatten(F.sort_array(F.collect_list("s"))).alias("s")).where(F.size("s") == size)
+    else:
+        # sample n lies in windows k (from 0) with k * stride < n <= k * stride + size
+        first = F.greatest(F.ceil((F.col("seq") - size) / stride), F.lit(0))
+        last = F.floor((F.col("seq") - 1) / stride)
+        spread = rows.where(first <= last).select(key, "seq", "ts_ms", *values, F.explode(F.sequence(first, last)).alias("k"))
+        grouped = spread.groupBy(key, "k").agg(F.sort_array(F.collect_list(held)).alias("s")).where(F.size("s") == size)
     end = F.col("s")[size - 1]
     names = {v: "v" if v == "x" else f"v_{v}" for v in values}
     arrays = [F.col("s").getField(v).cast("array<double>").alias(n) for v, n in names.items()]

@@ -289,7 +289,7 @@ ORACLE = {
     "partition_legacy": f"WITH {_PARTS} SELECT recording_id, win_no, CASE WHEN end_ts >= fault_start THEN 'post' WHEN end_ts >= start + 86400000 AND end_ts < fault_start + 86400000 THEN 'calibration' ELSE 'pre' END AS part FROM z",
     "partition_invariant": f"""WITH {_PARTS} SELECT recording_id, count(*) AS windows, count(*) FILTER (NOT ((end_ts >= start + 86400000 AND end_ts < "end") OR end_ts >= least("end", fault_start))) AS unassigned FROM z GROUP BY 1""",
     "timeline_metrics": f"""WITH t AS (SELECT 'job' AS recording_id, * FROM (VALUES (1000, 0.9::DOUBLE, false, false, false, 'calibration'), (2000, 0.8, false, false, false, 'calibration'), (3000, 0.7, true, false, false, 'pre'),
-      (4000, 0.6, false, false, false, 'pre'), (5000, 0.4, true, false, false, 'post'), (6000, 0.3, true, true, true, 'post')) v(ts_ms, shi, breach, persistent, event, part)), t2 AS (SELECT *, 5000 AS fault_start FROM t) {_metrics('t2')}""",
+      (4000, 0.6, false, false, false, 'pre'), (5000, 0.4, true, false, false, 'post'), (6000, 0.3, true, true, true, 'post')) v(ts_ms, shi, breach, persistent, event, part)), t2 AS (SELECT *, 5000 AS fault_start FROM t) {_metrics('t2', 6)}""",
     "detection_latency": f"WITH {_SCORED}, m AS ({_metrics('d3')}) SELECT recording_id, detected, detection_latency_s, event_detected, event_latency_s FROM m",
     "alarm_counts": f"WITH {_SCORED}, m AS ({_metrics('d3')}) SELECT recording_id, n_windows, " + ", ".join(f"whole_{k}_count, round(whole_{k}_rate, 9) + 0.0 AS whole_{k}_rate" for k in ("breach", "persistent", "event")) + " FROM m",
     "job_metrics": f"WITH {_SCORED} {_metrics('d3', 6)}",

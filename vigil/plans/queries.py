@@ -353,7 +353,8 @@ def partition_invariant(spark: SparkSession, sf: str) -> DataFrame:
 def timeline_metrics(spark: SparkSession, sf: str) -> DataFrame:
     rows = D.timeline(spark).withColumn("fault_start", F.lit(5000))
     rows = rows.withColumn("part", M.partition(F.col("ts_ms"), F.lit(1000), F.lit(3000), F.col("fault_start")))
-    return M.job_metrics(rows)
+    m = M.job_metrics(rows)
+    return m.select(*[r(c, 6).alias(c) if t == "double" else c for c, t in m.dtypes])
 
 
 @query
