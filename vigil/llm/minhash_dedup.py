@@ -184,7 +184,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
     Words are runs of bytes other than ASCII white space, with A-Z lower-cased; a document's set holds its distinct
     runs of five words, or its whole sequence when shorter. Documents are linked when 100 * intersection is at least
     ``percent`` * union. A null or empty text has an empty set and no links; a row with a null doc_id has no links,
-    a null component_id and is kept. Repeated rows and equal texts fall in one component. No rows give no rows.
+    a null component_id and is kept. Repeated rows and equal texts fall in one component; rows of one doc_id with different
+    texts count as one document, of the least text. No rows give no rows.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -192,15 +193,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
     sketches = stored(texts.mapInArrow(_sketches(bands, rows), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"), "sketches")
     filled = sketches.where("n_shingles > 0 and doc_id is not null")
     same = ["s1", "s2", "n_shingles"]
-    classes = filled.groupBy(*same).agg(F.min("doc_id").alias("id"))
-    entries = filled.join(classes, same).where("doc_id = id").select("id", "n_shingles", F.explode("bands").alias("key"))
-    entries = entries.dropDuplicates(["id", "key"])
+    # equal sets have equal bands
+    classes = stored(filled.groupBy(*same).agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "classes")
+    entries = classes.select("id", "n_shingles", F.explode("bands").alias("key"))
     shared = entries.groupBy("key").agg(F.count("*").alias("n"), F.min("id").alias("center"), F.min_by("n_shingles", "id").alias("n_center")).where("n > 1")
     entries = stored(entries.join(shared, "key"), "entries")
 
     fits = lambda x, y: f"100 * least({x}, {y}) >= {percent} * greatest({x}, {y})"
     needed = entries.select("id").distinct().withColumnRenamed("id", "doc_id")
-    sets = stored(texts.join(needed, "doc_id", "left_semi").mapInArrow(_sets, "id long, hashes binary").dropDuplicates(["id"]), "sets")
+    # always by sorting: the list of ids grows with the documents
+    wanted = texts.join(needed.hint("merge"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    sets = stored(wanted.mapInArrow(_sets, "id long, hashes binary"), "sets")
 
     star = entries.where("id <> center").where(fits("n_shingles", "n_center")).select("center", "id").distinct()
     parts = star.groupBy("center").agg(F.ceil(F.count("*") / STAR).alias("parts"))
@@ -231,7 +234,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
         drop(old)
     for x in (entries, sets, first, open_):
         drop(x)
-    linked = classes.join(found.withColumnRenamed("node", "id"), "id", "left").select(*same, F.coalesce("component", "id").alias("component"))
+    linked = classes.drop("bands").join(found.withColumnRenamed("node", "id"), "id", "left").select(*same, F.coalesce("component", "id").alias("component"))
     out = sketches.join(linked, same, "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
