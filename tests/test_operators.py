@@ -162,3 +162,22 @@ def test_broken_streams_are_named(spark):
     rows = W.timestamp_bounds(spark.createDataFrame([("r", 1, 10, 0.0), ("r", 2, 5, 0.0)], "recording_id string, seq long, ts_ms long, x double"))
     with pytest.raises(ValueError, match="back in time: r"):
         W.require(rows, "decreasing > 0", "back in time")
+
+
+def raw_scores(spark, n=200, fit=100):
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(n):
+        shift = 0.0 if i < 150 else 6.0
+        rows.append(("r", i, i < fit, *(float(abs(rng.normal()) + shift) for _ in range(3))))
+    return spark.createDataFrame(rows + [("few", 1, True, None, None, None)], "recording_id string, win_no long, calibration boolean, isolation double, mahalanobis double, ewma double")
+
+
+def test_fused_and_reference_health(spark):
+    raw = raw_scores(spark)
+    fused = S.fused_health(raw).orderBy("win_no").collect()
+    assert len(fused) == 200 and all(0 <= r["shi"] <= 1 for r in fused)
+    assert all(r["persistent"] for r in fused[152:]) and sum(r["breach"] for r in fused[:100]) <= 5
+    ref = S.reference_health(raw).orderBy("win_no").collect()
+    assert len(ref) == 200 and abs(np.mean([r["alarm"] for r in ref[:100]]) - 0.05) < 0.04 and all(r["alarm"] for r in ref[150:])
+    assert np.median([r["shi"] for r in ref[:100]]) == pytest.approx(0.9, abs=0.02)

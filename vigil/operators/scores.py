@@ -137,3 +137,48 @@ def running(values: Column, state: Column, step, block: int = 256) -> Column:  #
     starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / block).cast("int") - 1, F.lit(0)))
     parts = F.transform(starts, lambda k: F.slice(values, k * block + 1, block))
     return F.flatten(F.aggregate(parts, pair(state, F.array().cast("array<array<double>>")), many)["out"])
+
+
+BRANCHES = ["isolation", "mahalanobis", "ewma"]
+
+
+def _branches(raw: DataFrame) -> DataFrame:
+    return raw.where("isolation IS NOT NULL").unpivot(["recording_id", "win_no", "calibration"], BRANCHES, "branch", "value")
+
+
+def _calibration_quantiles(rows: DataFrame, keys: list[str], value: str, **quantiles: float) -> DataFrame:
+    return rows.where("calibration").groupBy(*keys).agg(*[F.percentile(value, F.lit(q)).alias(n) for n, q in quantiles.items()])
+
+
+def fused_health(raw: DataFrame, upper: float = 0.99, alarm: float = 0.05) -> DataFrame:
+    """(recording_id, win_no, calibration, isolation_health, mahalanobis_health, ewma_health, shi, alarm_threshold, breach, persistent).
+
+    Each branch's raw value counts from its calibration median to its upper percentile; health is one less the mean of
+    the three. Recordings without raw values (too few calibration windows) give no rows.
+    """
+    v = _branches(raw)
+    q = _calibration_quantiles(v, ["recording_id", "branch"], "value", middle=0.5, high=upper)
+    v = v.join(F.broadcast(q), ["recording_id", "branch"]).withColumn("health", 1 - normalised(F.col("value"), F.col("middle"), F.col("high")))
+    wide = v.groupBy("recording_id", "win_no", "calibration").agg(*[F.max(F.when(F.col("branch") == b, F.col("health"))).alias(f"{b}_health") for b in BRANCHES], F.avg("health").alias("shi"))
+    low = _calibration_quantiles(wide, ["recording_id"], "shi", alarm_threshold=alarm)
+    out = wide.join(F.broadcast(low), "recording_id").withColumn("breach", F.col("shi") < F.col("alarm_threshold"))
+    before = F.coalesce(F.lag("breach").over(Window.partitionBy("recording_id").orderBy("win_no")), F.lit(False))
+    return out.withColumn("persistent", F.col("breach") & before)
+
+
+def reference_health(raw: DataFrame, config: ReferenceConfig = REFERENCE) -> DataFrame:
+    """(recording_id, win_no, calibration, raw, shi, alarm): logistic branch healths, fused by reliability and calibrated once more.
+
+    A branch is at a half where its calibration has the upper ``target_fpr`` of values; the fused health is moved so that
+    the lower ``target_fpr`` of calibration is at a half and its median at the odds given.
+    """
+    v = _branches(raw)
+    q = _calibration_quantiles(v, ["recording_id", "branch"], "value", middle=0.5, high=1 - config.target_fpr)
+    v = v.join(F.broadcast(q), ["recording_id", "branch"]).withColumn("health", logistic_health(F.col("value"), F.col("middle"), F.col("high"), config.odds))
+    weights = reliability_weights(v.where("calibration"), ["recording_id"], config)
+    log = F.col("weight") * F.log(F.greatest(F.least("health", F.lit(1.0)), F.lit(1e-6)))
+    fused = v.join(F.broadcast(weights), ["recording_id", "branch"]).groupBy("recording_id", "win_no", "calibration").agg(F.exp(F.sum(log)).alias("raw"))
+    q = _calibration_quantiles(fused, ["recording_id"], "raw", low=config.target_fpr, middle=0.5)
+    shi = logistic_health(F.col("raw"), F.col("middle"), F.col("low"), config.odds, rising=True)
+    out = fused.join(F.broadcast(q), "recording_id").withColumn("shi", shi)
+    return out.select("recording_id", "win_no", "calibration", "raw", "shi", (F.col("shi") < 0.5).alias("alarm"))

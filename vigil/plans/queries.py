@@ -676,6 +676,36 @@ def isolation_forest(spark: SparkSession, sf: str) -> DataFrame:
     return fused_raw(_feature_arrays(spark, sf))
 
 
+@query
+def reference_health(spark: SparkSession, sf: str) -> DataFrame:
+    from vigil.operators.detectors import reference_raw
+
+    return S.reference_health(reference_raw(_feature_arrays(spark, sf)))
+
+
+@query
+def fused_health(spark: SparkSession, sf: str) -> DataFrame:
+    from vigil.operators.detectors import fused_raw
+
+    return S.fused_health(fused_raw(_feature_arrays(spark, sf)))
+
+
+@query
+def features_f22(spark: SparkSession, sf: str) -> DataFrame:
+    from vigil.functions.features import extract
+
+    rows = D.samples(spark, sf)
+    w = W.sliding_windows(rows, QUERY_WINDOW, QUERY_STRIDE).join(F.broadcast(W.first_window_rate(rows, QUERY_WINDOW)), "recording_id")
+    return extract(w, ar=True)
+
+
+@query
+def features_f20(spark: SparkSession, sf: str) -> DataFrame:
+    from vigil.functions.features import extract
+
+    return extract(W.sliding_windows(D.samples_xyz(spark, sf), 128, 64, ("x", "y", "z")), ("v", "v_y", "v_z"), "F20")
+
+
 # labels, sampling, planning, injection -------------------------------------------------------------------------------
 
 
