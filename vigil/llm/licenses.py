@@ -16,6 +16,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vigil.llm.session import smallest
+
 UNKNOWN = "unknown"
 #: Public notices of licence families, as projects put them in their files.
 TEMPLATES = {
@@ -84,7 +86,7 @@ NOT_NOTICES = [
     "Permission to enter the building is granted by the office.",
     "Conditions are met when both forms are signed and sent to the publisher.",
 ]
-FEATURES = 1 << 15
+FEATURES = 1 << 14
 NEGATIVES = 4_000
 LEAST = 0.5
 CONFIRMED = 0.6
@@ -149,7 +151,7 @@ def _lead(df: DataFrame, families: list[str]) -> DataFrame:
 
 
 def train(paragraphs: DataFrame) -> Classifier:
-    """Fits on the templates and at most ``NEGATIVES`` paragraphs (of the smallest hashes) that share no word triple with any of them."""
+    """Fits on the templates and at most ``NEGATIVES`` of the paragraphs given (of the smallest hashes) that share no word triple with any template."""
     spark = paragraphs.sparkSession
     known = _examples(spark)
     families = [*sorted(TEMPLATES), UNKNOWN]
@@ -159,12 +161,12 @@ def train(paragraphs: DataFrame) -> Classifier:
     others = others.where(~F.arrays_overlap(triples(words(F.col("text"))), F.lit(taken))).select("text", F.lit(UNKNOWN).alias("family"), F.pmod(F.xxhash64("text"), F.lit(4)).cast("int").alias("part"))
     number = F.coalesce(*[F.when(F.col("family") == f, F.lit(float(i))) for i, f in enumerate(families)])
     rows = _grams(known.unionByName(others)).withColumn("label", number).withColumn("weight", F.when(F.col("family") == UNKNOWN, 1.0).otherwise(4.0)).repartition(2, "text").cache()
-    fit = LogisticRegression(featuresCol="vector", rawPredictionCol="raw", probabilityCol="p", weightCol="weight", family="multinomial", regParam=2e-4, elasticNetParam=0.3, maxIter=40, standardization=False)
+    fit = LogisticRegression(featuresCol="vector", rawPredictionCol="raw", probabilityCol="p", weightCol="weight", family="multinomial", regParam=2e-4, elasticNetParam=0.3, maxIter=30, standardization=False)
     counted = HashingTF(inputCol="grams", outputCol="vector", numFeatures=FEATURES, binary=True)
     model = Pipeline(stages=[counted, fit]).fit(rows.where("part > 0"))
     held = _lead(model.transform(rows.where("part = 0")), families).withColumn("y", (F.col("family") != UNKNOWN).cast("double"))
     held = VectorAssembler(inputCols=["lead"], outputCol="one").transform(held.select("lead", "y"))
-    line = LogisticRegression(featuresCol="one", labelCol="y", regParam=0.01, maxIter=50).fit(held)
+    line = LogisticRegression(featuresCol="one", labelCol="y", regParam=0.01, maxIter=20).fit(held)
     rows.unpersist()
     steps = PipelineModel(stages=[model.stages[0], model.stages[1].setPredictionCol("").setProbabilityCol("")])
     return Classifier(steps, families, (float(line.coefficients[0]), float(line.intercept)))
@@ -181,9 +183,9 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     lines = F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != "")
     rows = rows.withColumn("lines", lines)
     paragraphs = rows.select("doc_id", "mark", F.posexplode("lines").alias("line", "text"))
-    spark = docs.sparkSession
-    found = train(paragraphs.select("text"))(paragraphs).where(F.col("family") != UNKNOWN)
-    templates = spark.createDataFrame([(f, t) for f, texts in TEMPLATES.items() for t in texts], "family string, template string")
+    some = smallest(rows.select("doc_id", "mark", "lines"), F.xxhash64("doc_id", "mark"), NEGATIVES, docs.count(), "lines").select(F.explode("lines").alias("text"))
+    found = train(some)(paragraphs).where(F.col("family") != UNKNOWN)
+    templates = docs.sparkSession.createDataFrame([(f, t) for f, texts in TEMPLATES.items() for t in texts], "family string, template string")
     templates = templates.select("family", triples(words(F.col("template"))).alias("t")).groupBy("family").agg(F.collect_list("t").alias("templates"))
     own = F.array_distinct(triples(words(F.col("text"))))
     found = found.withColumn("own", own).join(F.broadcast(templates), "family")
