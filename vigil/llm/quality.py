@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from vigil.llm import kernel as K
 from vigil.llm.logistic import fit, logit, sigmoid
-from vigil.llm.session import bounded_batches
+from vigil.llm.session import bounded_batches, smallest
 
 SAMPLE, POOL, ROUNDS, SURE, PER_ROUND = 10_000, 8_000, 4, 0.97, 400
 #: The threshold is set so that at most this share of the good calibration documents falls below it, and never above one half.
@@ -174,8 +174,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     bounded_batches(docs.sparkSession)
     rows = _standard(docs).withColumn("mark", F.xxhash64("doc_id"))
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
-    few = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE).withColumn("role", F.lit(0))
-    pool = rows.where("doc_id is not null").select("doc_id").join(known, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(POOL)
+    few = smallest(known, F.xxhash64("doc_id"), SAMPLE, known.count(), "doc_id").withColumn("role", F.lit(0))
+    # half of the documents may be labelled: twice as many are looked at
+    near = smallest(rows.where("doc_id is not null").select("doc_id"), F.xxhash64("doc_id"), 4 * POOL, docs.count(), "doc_id")
+    pool = near.join(known, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(POOL)
     chosen = few.unionByName(pool.select("doc_id", F.lit(None).cast("int").alias("quality"), F.lit(1).alias("role")))
     # at most SAMPLE + POOL rows of 16 bytes
     sample = rows.join(F.broadcast(chosen), "doc_id").mapInArrow(_features, "role int, quality int, mark long, x array<float>, z array<float>").toArrow()
