@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from vigil.llm import kernel as K
 from vigil.llm.logistic import fit, logit, sigmoid
-from vigil.llm.session import bounded_batches
+from vigil.llm.session import bounded_batches, smallest
 
 SAMPLE = 50_000
 LEXICON = 200_000
@@ -333,7 +333,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     model = Model(language_model(texts))
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
-    few = known.where(~held_out()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
+    known = known.where(~held_out())
+    few = smallest(known, F.xxhash64("doc_id"), SAMPLE, known.count(), "doc_id")
     # at most SAMPLE rows of 12 bytes
     rows = texts.join(F.broadcast(few), "doc_id")
     for_lexicon = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)) < 2
