@@ -101,7 +101,11 @@ def pairs(w: Column) -> Column:
 
 
 def triples(w: Column) -> Column:
-    """All runs of three words; a shorter paragraph is one run."""
+    """All runs of three words; a shorter paragraph is one run. The words are bound once, not split anew for each run."""
+    return F.transform(F.array(w), _triples)[0]
+
+
+def _triples(w: Column) -> Column:
     n = F.size(w)
     many = F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.array_join(F.slice(w, i, 3), " "))
     return F.when(n > 3, many).otherwise(F.array(F.array_join(w, " ")))
