@@ -200,6 +200,38 @@ def test_line_boundaries_resist_shifts(spark):
     assert got[0] == 0 and all(got[i] > 30 for i in range(1, 6))
 
 
+def test_short_passages_in_differing_surroundings(spark):
+    """Passages of 2-8 lines, three times each; no use of the operator's own boundaries."""
+    rng = random.Random(6)
+    line = lambda: " ".join(str(rng.randrange(1000)) for _ in range(6))
+    passages = [[line() for _ in range(2 + k % 7)] for k in range(350)]
+    texts = [[line() for _ in range(rng.randint(1, 6))] + p + [line() for _ in range(rng.randint(1, 6))] for p in passages * 3]
+    rows = [(i, "\n".join(x)) for i, x in enumerate(texts)]
+    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    gone, there = collections.Counter(), collections.Counter()
+    for i, x in enumerate(texts):
+        p = passages[i % 350]
+        left = set(got[i]["text"].split("\n"))
+        assert left >= set(x) - set(p) and (i >= 350 or left == set(x))
+        gone[len(p)] += len(p) - len(left & set(p)) if i >= 350 else 0
+        there[len(p)] += len(p) if i >= 350 else 0
+    share = {n: gone[n] / there[n] for n in there}
+    assert share[2] > 0.07 and share[3] > 0.15 and share[5] > 0.35 and share[8] > 0.55
+
+
+def test_cuts_follow_rank():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(rng.integers(1, 40))
+        rank, ends, may = rng.integers(0, rng.choice([2, 1000]), n), rng.random(n) < 0.1, rng.random(n) < 0.8
+        ends[-1] = True
+        want = np.concatenate(([True], ends, [True]))
+        for i in np.argsort(rank, kind="stable"):
+            if may[i] and not want[i : i + 3].any():
+                want[i + 1] = True
+        assert (line_dedup._cuts(rank, ends, may) == want[1:-1]).all()
+
+
 def test_lines_odd(odd, none):
     out = line_dedup.dedup_lines(odd)
     assert out.columns == [*odd.columns, "n_lines", "n_removed_lines"]

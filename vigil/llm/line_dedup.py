@@ -1,7 +1,9 @@
 """Removal of multi-line passages that stand elsewhere in the corpus too.
 
-A text is cut into chunks of lines at content-defined places: after a line if a rolling hash over the hashes of it and
-the line before is divisible by ``DIVISOR``. So a passage is cut alike wherever it stands and whatever precedes it.
+A text is cut into chunks of two or three lines at content-defined places: a rolling hash over the hashes of a line and
+the line before ranks the place after it, and places are taken from the lowest rank up unless one beside them, or the
+text's begin or end, is a cut already, so that no chunk of a single line is left. Which places are taken depends on the
+few lines around them, so a passage is cut alike nearly wherever it stands and whatever precedes it.
 Chunks of two lines or more with something on them are counted by 128-bit hashes; only for those that occur again the
 bytes are fetched and compared, by grouping on hash and bytes. The first occurrence, by doc_id and line, stays.
 """
@@ -18,12 +20,38 @@ from pyspark.sql import functions as F
 from vigil.llm import kernel as K
 from vigil.llm.session import bounded_batches, drop, stored
 
-DIVISOR = 4
+#: Places whose rolling hash is divisible by it may be cut; 1: all.
+DIVISOR = 1
 _VALUES = K.byte_values(3)
 _CHUNK = pa.schema([(x, pa.int64()) for x in ("h1", "h2", "doc_id", "t1", "line", "start", "end", "lines")])
 _DDL = ", ".join(f"{x.name} long" for x in _CHUNK)
 
 
+def _cuts(rank: np.ndarray, ends: np.ndarray, may: np.ndarray) -> np.ndarray:
+    """Lines after which a cut is made: the ``ends`` of rows, and of places that ``may`` be cut those of lowest rank first, no two side by side.
+
+    Each round takes the places lower than both neighbours left; of a run of equal ones every other, from its first on.
+    """
+    cut = ends.copy()
+    free = may & ~ends
+    free[:-1] &= ~ends[1:]
+    free[1:] &= ~ends[:-1]
+    free[:1] = False
+    left = np.flatnonzero(free)
+    while len(left):
+        r = rank[left]
+        beside = left[1:] == left[:-1] + 1
+        first = np.flatnonzero(np.concatenate(([True], ~(beside & (r[1:] == r[:-1])))))
+        last = np.append(first[1:], len(left)) - 1
+        higher = np.concatenate(([True], ~beside | (r[:-1] > r[1:]))), np.concatenate((~beside | (r[1:] > r[:-1]), [True]))
+        low = np.repeat(higher[0][first] & higher[1][last], last - first + 1)
+        taken = left[low & ((np.arange(len(left)) - np.repeat(first, last - first + 1)) % 2 == 0)]
+        cut[taken] = True
+        free[taken - 1] = free[taken] = free[taken + 1] = False
+        left = left[free[left]]
+    return cut
+
+
 def line_chunks(data: np.ndarray, offsets: np.ndarray, h: K.SpanHash, divisor: int = DIVISOR) -> tuple[np.ndarray, ...]:
     """Row, first line, number of lines, start and end byte (newline at the end not counted) of every chunk."""
     breaks = np.flatnonzero(data == 10)
@@ -35,8 +63,7 @@ def line_chunks(data: np.ndarray, offsets: np.ndarray, h: K.SpanHash, divisor: i
     lines = h(starts, ends)
     before = np.where(np.concatenate(([False], r1[1:] == r1[:-1])), np.concatenate((lines[:1], lines[:-1])), np.uint64(1))
     rolling = K.mix(lines * np.uint64(3) + before)
-    last = np.concatenate((r1[1:] != r1[:-1], [True])) | (rolling % np.uint64(divisor) == 0)
-    to = np.flatnonzero(last)
+    to = np.flatnonzero(_cuts(rolling, np.concatenate((r1[1:] != r1[:-1], [True])), rolling % np.uint64(divisor) == 0))
     at = np.concatenate(([0], to[:-1] + 1))
     first_of_row = np.searchsorted(r1, np.arange(len(offsets) - 1))
     return r1[at], at - first_of_row[r1[at]], to - at + 1, starts[at], ends[to]
