@@ -292,6 +292,30 @@ def test_page_parts():
     assert html_text.main_text(deep) == "deep"
 
 
+def test_pages_of_many_paths():
+    """One long paragraph and short ones, each with a path of its own: no size loses the short ones."""
+    for n in (399, 400, 1500):
+        names = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(n)]
+        texts = ["Long words, all of them. " * 20] + [f"Section {x} has a text of its own, and says a little more in it." for x in names[1:]]
+        page = "<body>" + "".join(f"<div id=z{x}><p>{t}</p></div>" for x, t in zip(names, texts, strict=True)) + "</body>"
+        assert html_text.main_text(page) == " ".join(t.strip() for t in texts)
+
+
+def test_smoothing_equals_all_pairs():
+    def near(a, b):
+        same = next((i for i, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        apart = len(a) + len(b) - 2 * same
+        return 0.5**apart if apart < 6 else 0.0
+
+    rng = random.Random(3)
+    for _ in range(40):
+        ratio = {tuple(rng.choice("abc") for _ in range(rng.randint(0, 9))): rng.uniform(1, 3000) for _ in range(rng.randint(1, 120))}
+        got = html_text._smoothed(ratio)
+        for p in ratio:
+            weights = {q: near(p, q) for q in ratio}
+            assert got[p] == pytest.approx(sum(w * ratio[q] for q, w in weights.items()) / max(1.0, sum(weights.values()) ** 0.5))
+
+
 def test_pages_odd(spark):
     kind = "page_id long, url string, html string, text int"
     rows = [(1, None, None, 1), (None, "u", "<p>a b</p>", 1), (2, "u", "", 1), (2, "u", "", 1)]

@@ -41,6 +41,8 @@ ARTICLE = frozenset("article main".split())
 ARTICLE_NAMES = frozenset("article post entry story content main maincontent articlebody body text".split())
 
 LINKED, OUTSIDE, SHARE = 0.75, 0.08, 0.12
+#: Steps apart from which on paths have no weight in each other's smoothing.
+NEAR = 6
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|([^\s>]+)))?", re.S)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -202,15 +204,34 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
-def _near(a: tuple[str, ...], b: tuple[str, ...]) -> float:
-    """Weight of path b in the smoothing of path a: by half for every step apart, 0 from six on."""
-    same = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        same += 1
-    apart = len(a) + len(b) - 2 * same
-    return 0.5**apart if apart < 6 else 0.0
+def _smoothed(ratio: dict[tuple[str, ...], float]) -> dict[tuple[str, ...], float]:
+    """The ratios of paths nearby, by half for every step apart, 0 from six on, over the square root of their weights.
+
+    Each path adds to the sums of its nearest prefixes, by how far below them it ends; a path reads those of its own
+    prefixes, less what lies in the branch that it came from. So the work grows with the paths, not their pairs.
+    """
+    below: dict[tuple[str, ...], list[list[float]]] = {}
+    for p, r in ratio.items():
+        for k in range(min(len(p), NEAR - 1) + 1):
+            sums = below.setdefault(p[: len(p) - k], [[0.0, 0.0] for _ in range(NEAR)])[k]
+            sums[0] += r
+            sums[1] += 1
+    out = {}
+    for p in ratio:
+        total = weight = 0.0
+        branch = None
+        for d in range(min(len(p), NEAR - 1) + 1):
+            here = below[p[: len(p) - d]]
+            for k in range(NEAR - d):
+                r, n = here[k]
+                if branch is not None and k:
+                    r, n = r - branch[k - 1][0], n - branch[k - 1][1]
+                if n:
+                    total += 0.5 ** (d + k) * r
+                    weight += 0.5 ** (d + k) * n
+            branch = here
+        out[p] = total / max(1.0, weight**0.5)
+    return out
 
 
 def main_text(page: str | None) -> str:
@@ -228,12 +249,11 @@ def main_text(page: str | None) -> str:
             s[i] += x
     ratio = {p: (chars / n) * (1 + marks / n) for p, (n, chars, marks, _) in paths.items()}
     any_article = any(inside.values())
+    smooth = _smoothed(ratio)
     score = {}
     for p in paths:
-        near = [(_near(p, q), q) for q in paths] if len(paths) < 400 else [(1.0, p)]
-        smooth = sum(w * ratio[q] for w, q in near) / max(1.0, sum(w for w, _ in near) ** 0.5)
-        n, chars, _, linked = paths[p]
-        fused = smooth * (1.0 if inside[p] or not any_article else OUTSIDE)
+        _, chars, _, linked = paths[p]
+        fused = smooth[p] * (1.0 if inside[p] or not any_article else OUTSIDE)
         listed = any(s.split(".")[0] in ("li", "td", "dd") for s in p)
         if linked > LINKED * chars and (listed or not inside[p]):
             fused = 0.0
