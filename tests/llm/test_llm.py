@@ -613,6 +613,24 @@ def test_restoring(docs):
         assert restorer.long(seen) == plain
 
 
+def test_restoring_long_stretches_and_many_signs(docs):
+    restorer = toxicity.Restorer(toxicity.language_model(docs.select("text")))
+
+    def hidden(text):
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        found = toxicity.suspects(data, *toxicity.K.word_spans(data, np.array([0, len(data)])))
+        return {w for _, s, e in found for w in restorer.long(text[s:e]).split()}
+
+    assert hidden("say s--t--u--p--i--d twice") == {"stupid"}
+    assert hidden("5tup!d 5!|_|y") >= {"stupid"} and len(hidden("5!|y")) == 1
+    assert hidden("stup" + "i" * 60 + "d") == {"stupid"}
+    for joint in (".", "-", " "):
+        assert hidden("so " + joint.join("trashidiot" * 4)) >= {"trash", "idiot"}
+    # no place of a long run is a cut
+    assert restorer.long(" ".join("idiot" * 40)).replace(" ", "") == "idiot" * 40
+    assert all(restorer.long("x " * k + "s t u p i d").endswith("stupid") for k in range(30))
+
+
 def test_toxicity_odd(odd, none, spark):
     few = spark.createDataFrame([(1, None, 1), (None, 1, 1), (6, 1, None), (3, 0, 0)], "doc_id long, quality int, toxic int")
     rows = toxicity.score_toxicity(odd, few).collect()

@@ -2,7 +2,7 @@
 
 A word written with digits, signs, dots, gaps or repeated letters is a noisy observation of a plain one. Its characters
 open a lattice (a letter is itself or a repetition to drop; a digit or sign is one of the letters it looks like, or
-nothing; a gap joins or parts), and a Viterbi search finds the path of least cost under a character trigram model,
+nothing; a gap or separator joins or parts), and a Viterbi search finds the path of least cost under a character trigram model,
 counted over all documents. What is scored are the plain words and the restored ones.
 
 A lexicon gives each word and word beginning or ending its log-odds of standing in a toxic document; a document's
@@ -35,7 +35,7 @@ SYMBOLS = 59
 #: The letters that digits and signs are written for.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "€": "e"}
 DROPPED = ".-_*~'^:,/#`"
-DOUBLED, REPEATED, LOOKED, SKIPPED, SKIPPED_SIGN, GAP_KEPT = 1.5, 0.2, 0.7, 0.4, 12.0, 0.0
+DOUBLED, REPEATED, LOOKED, SKIPPED, SKIPPED_SIGN, GAP_KEPT, GAP_SIGN = 1.5, 0.2, 0.7, 0.4, 12.0, 0.0, 1.0
 BEAM = 10
 LONGEST = 48
 BEGINNINGS, ENDINGS = (4, 5, 6, 8), (5, 7)
@@ -110,38 +110,45 @@ class Restorer:
             return [(c, 0.0), *again]
         if c in LOOKS:
             return [(x, LOOKED) for x in LOOKS[c]] + [("", SKIPPED_SIGN if c.isdigit() else 2 * LOOKED), *again]
-        return [("", SKIPPED if c in DROPPED else SKIPPED_SIGN)]
+        return [("", SKIPPED), (" ", GAP_SIGN)] if c in DROPPED else [("", SKIPPED_SIGN)]
 
     def _decode(self, seen: str) -> str:
         costs = self.costs
-        paths = {(0, 0): (0.0, "")}
+        # a state is the last two symbols; its path is linked from the end, and written out where all paths have met
+        paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
+        done: list[str] = []
         last, run = "", 0
         for c in seen:
             run = run + 1 if c == last else 0
-            new: dict[tuple[int, int], tuple[float, str]] = {}
-            for (a, b), (cost, text) in paths.items():
-                for out, extra in self._options(c, run):
+            options = [(out, symbol(out) if out else 0, extra) for out, extra in self._options(c, run)]
+            new: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+            for (a, b), (cost, path) in paths.items():
+                for out, s, extra in options:
                     if out:
-                        s = symbol(out)
-                        key, total, to = (b, s), cost + extra + costs[a][b][s], text + out
+                        key, total, to = (b, s), cost + extra + costs[a][b][s], (path, out)
                     else:
-                        key, total, to = (a, b), cost + extra, text
+                        key, total, to = (a, b), cost + extra, path
                     if key not in new or total < new[key][0]:
                         new[key] = (total, to)
+            if len(new) == 1:
+                key, (_, path) = new.popitem()
+                done += _written(path)
+                new[key] = (0.0, None)
             paths = dict(sorted(new.items(), key=lambda x: x[1][0])[:BEAM]) if len(new) > BEAM else new
             last = c
-        return min((cost + costs[a][b][0], text) for (a, b), (cost, text) in paths.items())[1]
+        return "".join(done + _written(min(((cost + costs[a][b][0], path) for (a, b), (cost, path) in paths.items()), key=lambda x: x[0])[1]))
 
     def long(self, seen: str) -> str:
-        """Of a run of any length, in stretches that begin and end at gaps where there are any."""
-        out, at = [], 0
-        while at < len(seen):
-            end = at + LONGEST if len(seen) - at > LONGEST else len(seen)
-            gap = seen.rfind(" ", at, end) if end < len(seen) else -1
-            end = gap + 1 if gap > at else end
-            out.append(self.word(seen[at:end]))
-            at = end
-        return "".join(out)
+        """Of a run of any length, decoded whole; answers for runs beyond ``LONGEST`` aren't kept."""
+        return self.word(seen) if len(seen) <= LONGEST else self._decode(seen)
+
+
+def _written(path: tuple | None) -> list[str]:
+    out = []
+    while path is not None:
+        path, c = path
+        out.append(c)
+    return out[::-1]
 
 
 def suspects(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarray) -> list[tuple[int, int, int]]:
@@ -168,7 +175,7 @@ def suspects(data: np.ndarray, start: np.ndarray, end: np.ndarray, row: np.ndarr
     odd = (inside > 0) & (many > 0) | (total(triple)[e] - total(triple)[s] > 0) | (tail & (many > 1))
     ends = np.where(tail, e + 1, e)
     size = ends - s
-    odd &= (size >= 3) & (size <= LONGEST) & (2 * inside <= size + 1)
+    odd &= size >= 3
     out = [(int(r), int(a), int(b)) for r, a, b in zip(row[odd], s[odd], ends[odd], strict=True)]
     width = total((data & 0xC0) != 0x80)
     single = (width[end] - width[start] == 1) & core[start]
