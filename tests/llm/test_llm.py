@@ -581,6 +581,34 @@ def test_leaks_in_all_shapes(spark):
     assert decontaminate.contamination(empty, bench).count() == 0 and decontaminate.contamination(docs, bench.limit(0)).count() == 0
 
 
+def test_leaks_of_short_items():
+    """Hundreds of items of one to twenty-four words, each in a text of its own of 400 more words, some with a word changed."""
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    items = [" ".join(word() for _ in range(n)) for n in (1, 2, 3, 4, 5, 5, 6, 7, 8, 10, 14, 20, 24) for _ in range(80)]
+    rows = []
+    for k, item in enumerate(items):
+        own, w = item.split(), [word() for _ in range(400)]
+        if k % 3 == 0 and len(own) >= 10:
+            own = own[:-1] + [word()]
+        at = rng.randint(0, 400)
+        rows.append((k, " ".join(w[:at] + own + w[at:])))
+    index = decontaminate.Index(list(range(len(items))), items)
+    import pyarrow as pa
+
+    got = set(index.hits(pa.array([t for _, t in rows]), 0.8))
+    have = [set(zip(*[t.split()[j:] for j in range(5)], strict=False)) for _, t in rows]
+    want = set()
+    for k, item in enumerate(items):
+        w = item.split()
+        own = set(zip(*[w[j:] for j in range(5)], strict=False))
+        n = len(own & have[k]) if len(w) >= 5 else 1
+        if n >= 0.8 * max(len(own), 1):
+            want.add((k, k, max(len(own), 1), n))
+    assert len(want) > 900 and want == {x for x in got if x[0] == x[1]}
+    assert all(f" {items[i]} " in f" {rows[row][1]} " for row, i, *_ in got if row != i)
+
+
 def test_leaks_in_blocks_of_items(spark, sf_dir, monkeypatch):
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     key = lambda df: sorted((r["doc_id"], r["item_id"]) for r in df.collect())

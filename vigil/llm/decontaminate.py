@@ -2,10 +2,12 @@
 
 After LSH Ensemble (Zhu et al. 2016): similarity of a short item and a long text is low even where the text holds the
 whole item, so items are put in partitions by size, and for each partition a text is seen as windows of about that
-size. A window that holds an item then has a similarity with it of a third at least, and 32 coordinates with one-row
-bands miss it with a probability below 1e-4. Windows are runs of blocks of ``GRAIN`` shingles; a block's minima are
-taken once and serve all partitions. A candidate is confirmed if the share of the item's distinct shingles that the
-whole text holds is ``THRESHOLD`` or more.
+size. Windows are runs of blocks of ``GRAIN`` shingles; a block's minima are taken once and serve all partitions. Beside
+a window even an item that it holds can be small: items of up to ``SMALL`` shingles are looked up by each of their
+shingles instead, which misses none. Larger ones have a similarity of 0.4 or more with a window that holds
+``THRESHOLD`` of them, and 32 coordinates with one-row bands miss them there with a probability below 1e-7; one whose
+parts stand far apart in the text can have less. A candidate is confirmed if the share of
+the item's distinct shingles that the whole text holds is ``THRESHOLD`` or more.
 
 The index goes to every task with the function. It is built from at most ``BLOCK_WORDS`` words of items; a larger
 benchmark is searched in several blocks, one pass over the documents each.
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 from vigil.llm import kernel as K
 from vigil.llm.session import bounded_batches
 
-WORDS, THRESHOLD, COORDINATES, GRAIN = 5, 0.8, 32, 8
+WORDS, THRESHOLD, COORDINATES, GRAIN, SMALL = 5, 0.8, 32, 8, 16
 BLOCK_WORDS = 4_000_000
 _VALUES = K.byte_values(9)
 _BREAKS = np.ones(256, dtype=bool)
@@ -54,12 +56,25 @@ class Index:
                     self.ids.append(ids[a + i])
                     self.sets.append(np.unique(h))
                     width.append(k)
-        sizes = np.array([len(s) for s in self.sets], dtype=np.int64)
+        self.sizes = sizes = np.array([len(s) for s in self.sets], dtype=np.int64)
+        #: for each number of words in a shingle: sorted shingles of small items, their items, filter table, its bits
+        self.small = {}
+        for k in sorted(set(width)):
+            own = [i for i in range(len(sizes)) if width[i] == k and sizes[i] <= SMALL]
+            if own:
+                keys = np.concatenate([self.sets[i] for i in own])
+                order = np.argsort(keys, kind="stable")
+                bits = max(12, int(np.ceil(np.log2(64 * len(keys)))))
+                table = np.zeros(1 << bits, dtype=bool)
+                table[K.mix(keys) >> np.uint64(64 - bits)] = True
+                self.small[k] = keys[order], np.repeat(own, sizes[own])[order], table, bits
         #: (words in a shingle, blocks in a window, for each coordinate the sorted minima and their items, filter table)
         self.partitions = []
         classes = np.ceil(np.log(np.maximum(sizes, 1)) / np.log(1.5)).astype(int)
         for k, c in sorted(set(zip(width, classes.tolist(), strict=True))):
-            own = [i for i in range(len(sizes)) if width[i] == k and classes[i] == c]
+            own = [i for i in range(len(sizes)) if width[i] == k and classes[i] == c and sizes[i] > SMALL]
+            if not own:
+                continue
             low = np.stack([(self.sets[i][None, :] * _FACTORS[:, None]).min(axis=1) for i in own], axis=1)
             order = np.argsort(low, axis=1, kind="stable")
             bits = max(12, int(np.ceil(np.log2(64 * len(own)))))
@@ -69,8 +84,28 @@ class Index:
             blocks = int(np.ceil(max(sizes[own]) / GRAIN)) + 1
             self.partitions.append((k, blocks, np.take_along_axis(low, order, axis=1), np.array(own)[order], table, bits))
 
+    def held(self, h: np.ndarray, r: np.ndarray, k: int, threshold: float) -> set[tuple[int, int]]:
+        """(row, item) pairs of the small items that rows hold to ``threshold`` or more, by exact look-up."""
+        if not len(h) or k not in self.small:
+            return set()
+        keys, items, table, bits = self.small[k]
+        hit = table[K.mix(h) >> np.uint64(64 - bits)]
+        x, o = h[hit], r[hit]
+        order = np.lexsort((x, o))
+        x, o = x[order], o[order]
+        new = np.ones(len(x), dtype=bool)
+        new[1:] = (x[1:] != x[:-1]) | (o[1:] != o[:-1])
+        x, o = x[new], o[new]
+        a, b = np.searchsorted(keys, x), np.searchsorted(keys, x, side="right")
+        n = b - a
+        found = items[np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        pair, shared = np.unique(np.repeat(o, n) * len(self.sizes) + found, return_counts=True)
+        row, item = np.divmod(pair, len(self.sizes))
+        enough = shared >= threshold * self.sizes[item] - 1e-9
+        return set(zip(row[enough].tolist(), item[enough].tolist(), strict=True))
+
     def candidates(self, h: np.ndarray, r: np.ndarray, k: int) -> set[tuple[int, int]]:
-        """(row, item) pairs that share a minimum in some window."""
+        """(row, item) pairs of larger items that share a minimum in some window."""
         out: set[tuple[int, int]] = set()
         mine = [p for p in self.partitions if p[0] == k]
         if not len(h) or not mine:
@@ -99,11 +134,11 @@ class Index:
     def hits(self, column: pa.Array, threshold: float) -> Iterator[tuple[int, int, int, int]]:
         """(row, item, its shingles, those the row holds)."""
         for a, b, words, rows in words_of(column):
-            for k in sorted({p[0] for p in self.partitions}):
+            for k in sorted({p[0] for p in self.partitions} | self.small.keys()):
                 h, r = K.shingles(words, rows, b - a, k)
                 full = np.bincount(rows, minlength=b - a) >= k
                 h, r = h[full[r]], r[full[r]]
-                found = sorted(self.candidates(h, r, k))
+                found = sorted(self.held(h, r, k, threshold) | self.candidates(h, r, k))
                 if not found:
                     continue
                 cut = np.searchsorted(r, np.arange(b - a + 1))
