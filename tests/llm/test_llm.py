@@ -261,6 +261,35 @@ def test_licenses_odd(spark, none):
     assert licenses.scan_licenses(none).count() == 0
 
 
+def test_wrapped_licenses(spark, docs):
+    import textwrap
+
+    gpl = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    mit = 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software'
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+    apache = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'
+    prose = ["The river was low and the boats lay on the sand, so that nobody could cross before the evening came.", "It rained for three days after that."]
+    rows, want = [], {}
+    for k, (family, text) in enumerate((("gpl", gpl), ("mit", mit), ("bsd", bsd), ("apache-2.0", apache))):
+        for j, (width, lead) in enumerate(((70, ""), (76, " * "), (80, "# "), (60, "    "))):
+            notice = [lead + x for x in textwrap.wrap(text, width)]
+            rows.append((10 * k + j, "\n".join(notice if j == 0 else ["/*", *notice, "*/", *prose] if j == 1 else [*prose, "", *notice, "", *prose])))
+            want[10 * k + j] = [family]
+    rows += [(90, "\n".join(prose)), (91, "He took the software home, with permission\nof the office, and reserved a table."), (92, "Released under the MIT License.\nSee there.\nReleased under the MIT License.")]
+    want |= {90: [], 91: [], 92: ["mit"]}
+    frame = spark.createDataFrame([(*r, "en", "a", 1) for r in rows], DOCS)
+    got = {r["doc_id"]: r for r in licenses.scan_licenses(docs.where("doc_id > 1000").unionByName(frame)).collect()}
+    assert {i: got[i]["families"] for i in want} == want
+    assert all(got[i]["n_notices"] == len(f) for i, f in want.items() if i < 90) and got[92]["n_notices"] == 2
+
+
+def test_hints_stand_in_all_templates():
+    for t in (t for texts in licenses.TEMPLATES.values() for t in texts):
+        w = re.findall("[a-z0-9]+", t.lower())
+        runs = {" ".join(w[i : i + 3]) for i in range(max(len(w) - 2, 1))}
+        assert len(t) < licenses.AROUND - 50 and sum(not re.search(licenses.HINTS, x) for x in runs) < licenses.CONFIRMED * len(runs), t
+
+
 # pages ---------------------------------------------------------------------------------------------------------------
 
 

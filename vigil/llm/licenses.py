@@ -3,7 +3,9 @@
 Every paragraph (line) of every document is classified: its words and word pairs are hashed to a sparse vector, and a
 multinomial logistic regression fitted with an L1 share gives a probability to each licence family and to a class of
 paragraphs that are none. A second regression on paragraphs held back calibrates how far the best family leads, and
-paragraphs below ``LEAST`` are unknown. A paragraph counts once a template of its family confirms it: enough of the
+paragraphs below ``LEAST`` are unknown. So that notices wrapped over several lines are seen whole, the text around every
+line break is classified too, in documents with a word of ``HINTS``, without which no template can be confirmed. A
+paragraph counts once a template of its family confirms it: enough of the
 template's word triples must stand in it. All steps, fitting included, are DataFrame operations inside the JVM.
 """
 
@@ -90,6 +92,10 @@ FEATURES = 1 << 14
 NEGATIVES = 4_000
 LEAST = 0.5
 CONFIRMED = 0.6
+#: Parts of words one of which stands in any ``CONFIRMED`` share of a template's triples.
+HINTS = "licens|spdx|compliance|apache|redistribut|software|obtaining|granted|associated|restriction|reproduced|transmitted|permission|reserved|copyright|waived|extent|governed|creative|modification|permitted|binary|dedicated|domain|universal|released|public|distributed|gpl|mozilla|subject|rights|bsd|attribution|available|(?<![a-z0-9])cc(?![a-z0-9])|commercial"
+#: Characters taken on each side of a line break, more than any template has, and lines looked at behind it.
+AROUND, FOLLOWING = 300, 12
 
 
 def words(text: Column) -> Column:
@@ -176,11 +182,18 @@ def train(paragraphs: DataFrame) -> Classifier:
     return Classifier(steps, families, (float(line.coefficients[0]), float(line.intercept)))
 
 
+def around_breaks(lines: Column) -> Column:
+    """For every line but the last its end joined with the beginning of the lines after it."""
+    heads = F.transform(lines, lambda x: F.substring(x, 1, AROUND))
+    one = lambda x, i: F.concat_ws(" ", F.right(x, F.lit(AROUND)), F.substring(F.array_join(F.slice(heads, i + 2, FOLLOWING), " "), 1, AROUND))
+    return F.slice(F.transform(lines, one), F.lit(1), F.size(lines) - 1)
+
+
 def scan_licenses(docs: DataFrame) -> DataFrame:
     """One row for every row of ``docs`` (doc_id, text; more columns are ignored): doc_id, n_paragraphs, families, n_notices, confidence.
 
-    ``families`` lists the licence families of confirmed notices in order of name, ``n_notices`` counts the notices,
-    ``confidence`` is the highest one (null without notices). Null and empty texts have no paragraphs and no notices.
+    ``families`` lists the licence families of confirmed notices in order of name, ``n_notices`` counts the notices (those
+    of one family wrapped around neighbouring line breaks as one), ``confidence`` is the highest one (null without notices). Null and empty texts have no paragraphs and no notices.
     Rows that agree in doc_id and text have the same result each; a null doc_id stays null. No rows give no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("mark", F.xxhash64("text"))
@@ -188,13 +201,23 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("lines", lines)
     paragraphs = rows.select("doc_id", "mark", F.posexplode("lines").alias("line", "text"))
     some = smallest(rows.select("doc_id", "mark", "lines"), F.xxhash64("doc_id", "mark"), NEGATIVES, docs.count(), "lines").select(F.explode("lines").alias("text"))
-    found = train(some)(paragraphs).where(F.col("family") != UNKNOWN)
+    classify = train(some)
+    breaks = rows.where(F.lower("text").rlike(HINTS) & (F.size("lines") > 1)).select("doc_id", "mark", F.posexplode(around_breaks(F.col("lines"))).alias("line", "text")).where(F.lower("text").rlike(HINTS))
     templates = docs.sparkSession.createDataFrame([(f, t) for f, texts in TEMPLATES.items() for t in texts], "family string, template string")
     templates = templates.select("family", triples(words(F.col("template"))).alias("t")).groupBy("family").agg(F.collect_list("t").alias("templates"))
-    own = F.array_distinct(triples(words(F.col("text"))))
-    found = found.withColumn("own", own).join(F.broadcast(templates), "family")
-    share = F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("own"))) / F.size(F.array_distinct(t)))
-    found = found.where(F.array_max(share) >= CONFIRMED).select("doc_id", "mark", "line", "family", "confidence").distinct()
-    found = found.groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("family")).alias("families"), F.count("*").alias("n_notices"), F.max("confidence").alias("confidence"))
+
+    def confirmed(paragraphs: DataFrame, wrapped: bool) -> DataFrame:
+        found = classify(paragraphs).where(F.col("family") != UNKNOWN)
+        found = found.withColumn("own", F.array_distinct(triples(words(F.col("text"))))).join(F.broadcast(templates), "family")
+        share = F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("own"))) / F.size(F.array_distinct(t)))
+        return found.where(F.array_max(share) >= CONFIRMED).select("doc_id", "mark", "line", "family", "confidence", F.lit(wrapped).alias("wrapped"))
+
+    found = confirmed(paragraphs, False).unionByName(confirmed(breaks, True)).groupBy("doc_id", "mark", "family")
+    inside = F.col("wrapped")
+    found = found.agg(F.collect_set(F.when(~inside, F.col("line"))).alias("own"), F.collect_set(F.when(inside, F.col("line"))).alias("broken"), F.coalesce(F.max(F.when(~inside, F.col("confidence"))), F.max("confidence")).alias("confidence"))
+    # a line break around which a line alone is a notice adds none, and neighbouring breaks show the same one
+    found = found.withColumn("broken", F.array_sort(F.filter("broken", lambda x: ~F.exists("own", lambda y: (y >= x) & (y <= x + FOLLOWING)))))
+    number = F.size("own") + F.size(F.filter("broken", lambda x: ~F.array_contains(F.col("broken"), x - 1)))
+    found = found.withColumn("n", number).groupBy("doc_id", "mark").agg(F.sort_array(F.collect_set("family")).alias("families"), F.sum("n").alias("n_notices"), F.max("confidence").alias("confidence"))
     out = rows.select("doc_id", "mark", F.size("lines").cast("long").alias("n_paragraphs")).alias("d").join(found.alias("f"), F.expr("d.doc_id <=> f.doc_id AND d.mark <=> f.mark"), "left")
     return out.select("d.doc_id", "n_paragraphs", F.coalesce("families", F.array().cast("array<string>")).alias("families"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), "confidence")
