@@ -2,8 +2,8 @@
 
 A word written with digits, signs, dots, gaps or repeated letters is a noisy observation of a plain one. Its characters
 open a lattice (a letter is itself or a repetition to drop; a digit or sign is one of the letters it looks like, or
-nothing; a gap or separator joins or parts), and a Viterbi search finds the path of least cost under a character trigram model,
-counted over all documents. What is scored are the plain words and the restored ones.
+nothing; a gap or separator joins or parts), and a Viterbi search that keeps the ``BEAM`` cheapest states after each
+character, so isn't exact, finds a path of low cost under a character trigram model, counted over all documents. What is scored are the plain words and the restored ones.
 
 A lexicon gives each word and word beginning or ending its log-odds of standing in a toxic document; a document's
 score comes from its highest words through a logistic regression. Labels are read only for rows in the training part:
