@@ -15,7 +15,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     hangs nodes below smaller neighbours, so the depth shrinks by half and more, and the edges never grow.
     Each round's edges are written to the shared folder. Minima are taken by partial aggregates, and the joins
     back to a hub's many edges are ones that adaptive execution can split. Nulls and loops are dropped; no edges
-    give no rows.
+    give no rows. The result is a stored table.
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
     e = stored(e, "edges")
@@ -34,4 +34,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == before:
             break
         before = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = stored(e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    drop(e)
+    return out

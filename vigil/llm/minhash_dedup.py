@@ -211,7 +211,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
     middle = parts.select(F.col("center").alias("id"), F.explode(F.expr("sequence(0L, parts - 1)")).alias("part"))
     assigned = star.select("block", "id", F.lit(1).alias("side")).union(middle.select(F.xxhash64("id", "part"), "id", F.lit(0)))
     first = stored(_links(assigned, sets, percent), "links")
-    found = stored(connected_components(first), "components")
+    found = connected_components(first)
 
     part_of = entries.join(found.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     several = part_of.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("members"))
@@ -230,11 +230,32 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
         across = across.select(F.expr("xxhash64(key, 'm', if(is_main, other, chunk), if(is_main, chunk, other))"), "id", F.expr("if(is_main, 1, 0)"))
         more = _links(small.union(within).union(across), sets, percent)
         old = found
-        found = stored(connected_components(first.union(more)), "components")
+        found = connected_components(first.union(more))
         drop(old)
     for x in (entries, sets, first, open_):
         drop(x)
     linked = classes.drop("bands").join(found.withColumnRenamed("node", "id"), "id", "left").select(*same, F.coalesce("component", "id").alias("component"))
     out = sketches.join(linked, same, "left")
     component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("component"))).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+    out = stored(out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")), "near")
+    for x in (sketches, classes, found):
+        drop(x)
+    return out
+
+
+def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
+    """``docs``, all columns, with one row of each group of near copies, the one of the smallest doc_id.
+
+    Rows that share a doc_id are documents of their own: an exact repetition goes, another text stays unless it is a
+    copy of some row before. Rows without words or without a doc_id all stay. No rows give no rows.
+    """
+    twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
+    if twice.isEmpty():
+        gone = near_duplicates(docs, percent).where("not kept").select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    rows = docs.where("doc_id is not null").withColumn("_vigil_mark", F.xxhash64("text")).repartitionByRange("doc_id", "_vigil_mark").sortWithinPartitions("doc_id", "_vigil_mark")
+    # numbers follow the order of ids; they are written, so no later run of a task can give others
+    rows = stored(rows.withColumn("_vigil_row", F.monotonically_increasing_id()), "rows")
+    near = near_duplicates(rows.select(F.col("_vigil_row").alias("doc_id"), "text"), percent)
+    gone = near.where("not kept").select(F.col("doc_id").alias("_vigil_row")).distinct()
+    return rows.join(gone, "_vigil_row", "left_anti").select(*docs.columns).union(docs.where("doc_id is null"))
