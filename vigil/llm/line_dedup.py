@@ -6,6 +6,7 @@ text's begin or end, is a cut already, so that no chunk of a single line is left
 few lines around them, so a passage is cut alike nearly wherever it stands and whatever precedes it.
 Chunks of two lines or more with something on them are counted by 128-bit hashes; only for those that occur again the
 bytes are fetched and compared, by grouping on hash and bytes. The first occurrence, by doc_id and line, stays.
+Chunks that make up much of the corpus are joined where they are read.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.llm import kernel as K
-from vigil.llm.session import bounded_batches, drop, stored
+from vigil.llm.session import bounded_batches, drop, heavy_keys, spread_join, stored
 
 #: Places whose rolling hash is divisible by it may be cut; 1: all.
 DIVISOR = 1
@@ -129,19 +130,28 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, hash_bits: int = 64) ->
     lose the same chunks. Texts whose last chunks go may become empty; no row is dropped. No rows give no rows.
     """
     bounded_batches(docs.sparkSession)
-    keyed = docs.withColumns({"_vigil_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 62))), "_vigil_t1": F.xxhash64("text")})
+    # the mark tells a null id from the least one
+    keyed = docs.withColumns({"_vigil_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))), "_vigil_t1": F.xxhash64("text", F.col("doc_id").isNull())})
     slim = keyed.select(F.col("_vigil_id").alias("doc_id"), F.col("_vigil_t1").alias("t1"), "text").where("text is not null")
     found = stored(slim.mapInArrow(_chunks(divisor, hash_bits), _DDL), "chunks")
-    again = found.groupBy("h1", "h2").agg(F.count("*").alias("n")).where("n > 1").select("h1", "h2")
-    again = stored(found.join(again, ["h1", "h2"]), "chunks")
+    key = ["h1", "h2"]
+    often = stored(found.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1"), "often")
+    heavy = heavy_keys(often, key, found.count())
+    again = stored(spread_join(found, often.select(*key), key, heavy), "chunks")
     drop(found)
+    drop(often)
     place = ["doc_id", "t1"]
     want = again.groupBy(*place).agg(F.collect_set(F.struct("h1", "h2", "line", "start", "end")).alias("want"))
     texts = slim.join(want, place).mapInArrow(_bytes, "h1 long, h2 long, doc_id long, t1 long, line long, bytes binary")
     first = texts.groupBy("h1", "h2", "bytes").agg(F.min(F.struct("doc_id", "t1", "line")).alias("first"))
     first = first.groupBy("h1", "h2").agg(F.collect_list("first").alias("first"))
-    gone = again.join(first, ["h1", "h2"]).where(~F.expr("array_contains(first, struct(doc_id, t1, line))"))
+    # joined twice where there are heavy keys
+    first = stored(first, "first") if heavy else first
+    gone = spread_join(again, first, key, heavy).where(~F.expr("array_contains(first, struct(doc_id, t1, line))"))
     gone = gone.groupBy(F.col("doc_id").alias("_vigil_id"), F.col("t1").alias("_vigil_t1")).agg(F.collect_set(F.struct("line", "lines")).alias("_vigil_spans"))
+    gone = stored(gone, "gone")
+    drop(again)
+    drop(first)
     joined = keyed.join(gone, ["_vigil_id", "_vigil_t1"], "left")
     added = {"n_lines": "long", "n_removed_lines": "long"}
     kinds = {f.name: "string" if f.name == "text" else "long" if f.name == "n_chars" else f.dataType.simpleString() for f in docs.schema} | added
