@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vigil.llm import kernel as K
-from vigil.llm.session import bounded_batches, drop, stored
+from vigil.llm.session import bounded_batches, drop, heavy_keys, spread_join, stored
 from vigil.llm.suffix_sort import equal_prefix_runs, join_texts, suffix_array
 
 GRAM = 40
@@ -125,29 +125,30 @@ def _find(length: int, gram: int):
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of the contexts asked for: column ``want`` lists (anchor, c1, c2, left, len, at)."""
-    names = ["anchor", "c1", "c2", "doc_id", "t1", "left", "at", "bytes"]
+    """The bytes of the contexts asked for: column ``want`` lists (anchor, c1, c2, left, len, at, hot)."""
     for batch in batches:
         raw, offsets = K.buffers(batch["text"])
-        out: list[list] = [[] for _ in names]
+        out: list[list] = [[] for _ in _CONTEXT]
         size = 0
         for i, (doc, mark, want) in enumerate(zip(batch["doc_id"].to_pylist(), batch["t1"].to_pylist(), batch["want"].to_pylist(), strict=True)):
             for w in want:
                 s = offsets[i] + w["at"] - w["left"]
-                row = (w["anchor"], w["c1"], w["c2"], doc, mark, w["left"], w["at"], raw[s : s + w["len"]].tobytes())
+                row = (w["anchor"], w["c1"], w["c2"], doc, mark, w["left"], w["at"], raw[s : s + w["len"]].tobytes(), w["hot"])
                 for column, x in zip(out, row, strict=True):
                     column.append(x)
                 size += w["len"]
             if size > 4 << 20:
                 yield _contexts(out)
-                out, size = [[] for _ in names], 0
+                out, size = [[] for _ in _CONTEXT], 0
         if size:
             yield _contexts(out)
 
 
+_CONTEXT = pa.schema([*((x, pa.int64()) for x in ("anchor", "c1", "c2", "doc_id", "t1")), ("left", pa.int32()), ("at", pa.int32()), ("bytes", pa.binary()), ("hot", pa.bool_())])
+
+
 def _contexts(out: list[list]) -> pa.RecordBatch:
-    kinds = [pa.int64()] * 5 + [pa.int32()] * 2 + [pa.binary()]
-    return pa.record_batch([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], names=["anchor", "c1", "c2", "doc_id", "t1", "left", "at", "bytes"])
+    return pa.record_batch([pa.array(x, f.type) for x, f in zip(out, _CONTEXT, strict=True)], schema=_CONTEXT)
 
 
 _SPANS = pa.schema([("anchor", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("spans", pa.list_(pa.struct([("s", pa.int32()), ("e", pa.int32())])))])
@@ -231,35 +232,49 @@ def _windows(length: int):
 def repeated_spans(docs: DataFrame, length: int = 400) -> DataFrame:
     """(doc_id, t1, spans): byte ranges of each document covered by strings of ``length`` bytes that start anywhere else too.
 
-    ``docs``: doc_id long (no nulls), t1 = xxhash64(text), text (no nulls). Rows of one doc_id and text share one result.
+    ``docs``: doc_id long (no nulls), t1 a hash of text, text (no nulls). Rows of one doc_id and text share one result.
     """
     bounded_batches(docs.sparkSession)
     gram = min(GRAM, length)
     found = stored(docs.mapInArrow(_find(length, gram), "anchor long, c1 long, c2 long, doc_id long, t1 long, left int, len int, at array<int>, many boolean"), "anchors")
-    twice = found.groupBy("anchor").agg(F.sum(F.size("at") + F.col("many").cast("int")).alias("n")).where("n > 1").select("anchor")
-    found_again = stored(found.join(twice, "anchor"), "anchors")
+    often = found.groupBy("anchor").agg(F.sum(F.size("at") + F.col("many").cast("int")).alias("places"), F.count("*").alias("n"))
+    often = stored(often.where("places > 1").select("anchor", "n"), "often")
+    again = stored(spread_join(found, often.select("anchor"), ["anchor"], heavy_keys(often, ["anchor"], found.count())), "anchors")
     drop(found)
+    drop(often)
     context = ["anchor", "c1", "c2"]
-    contexts = found_again.groupBy(*context).agg(F.sum(F.size("at")).alias("n"), F.max("many").alias("many"), F.min(F.struct("doc_id", "t1", F.col("at")[0].alias("at"), "left", "len")).alias("r"))
+    contexts = again.groupBy(*context).agg(F.sum(F.size("at")).alias("places"), F.count("*").alias("n"), F.max("many").alias("many"), F.min(F.struct("doc_id", "t1", F.col("at")[0].alias("at"), "left", "len")).alias("r"))
     contexts = stored(contexts, "contexts")
-    several = contexts.groupBy("anchor").agg(F.count("*").alias("d"), F.max("many").alias("many")).where("d > 1 or many").select("anchor", "d")
-    whole = contexts.where("n > 1").select(*context, F.expr("array(struct(-r.left AS s, r.len - r.left AS e))").alias("spans"))
-    want = contexts.join(several, "anchor").select("d", *context, "r.*")
-    want = want.groupBy("doc_id", "t1").agg(F.collect_list(F.struct("anchor", "c1", "c2", "left", "len", "at")).alias("want"))
-    cut = docs.join(want, ["doc_id", "t1"]).select("doc_id", "t1", "text", "want").mapInArrow(_cut, "anchor long, c1 long, c2 long, doc_id long, t1 long, left int, at int, bytes binary")
-    hot = several.where(F.col("d") > HOT)
-    cool = cut.join(several.where(F.col("d") <= HOT).select("anchor"), "anchor", "left_semi")
-    columns = ["anchor", "c1", "c2", "doc_id", "t1", "left", "at", "bytes"]
+    several = stored(contexts.groupBy("anchor").agg(F.count("*").alias("n"), F.max("many").alias("many")).where("n > 1 or many").select("anchor", "n"), "several")
+    whole = contexts.where("places > 1").select(*context, F.expr("array(struct(-r.left AS s, r.len - r.left AS e))").alias("spans"))
+    heavy = heavy_keys(several, ["anchor"], contexts.count())
+    want = spread_join(contexts.select(*context, "r"), several.withColumn("hot", F.col("n") > HOT).select("anchor", "hot"), ["anchor"], heavy).select(*context, "r.*", "hot")
+    want = want.groupBy("doc_id", "t1").agg(F.collect_list(F.struct("anchor", "c1", "c2", "left", "len", "at", "hot")).alias("want"))
+    fields = "anchor long, c1 long, c2 long, doc_id long, t1 long, left int, at int, bytes binary"
+    cut = docs.join(want, ["doc_id", "t1"]).select("doc_id", "t1", "text", "want").mapInArrow(_cut, f"{fields}, hot boolean")
+    any_hot = not several.where(F.col("n") > HOT).isEmpty()
+    # read twice only where there are hot anchors
+    cut = stored(cut, "cut") if any_hot else cut
     kind = "anchor long, c1 long, c2 long, spans array<struct<s:int,e:int>>"
-    spans = whole.union(cool.select(columns).repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort(length), kind))
-    if not hot.isEmpty():
-        strings = cut.join(hot.select("anchor"), "anchor").select(columns).mapInArrow(_windows(length), "w1 long, w2 long, doc_id long, t1 long, place long, anchor long, c1 long, c2 long, start long")
+    cool = cut.where("not hot").drop("hot").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sort(length), kind)
+    spans = whole.union(cool)
+    if any_hot:
+        strings = cut.where("hot").drop("hot").mapInArrow(_windows(length), "w1 long, w2 long, doc_id long, t1 long, place long, anchor long, c1 long, c2 long, start long")
         strings = stored(strings, "strings")
         place = F.struct("doc_id", "t1", "place")
-        known = strings.groupBy("w1", "w2").agg(F.min(place).alias("x"), F.max(place).alias("y")).where("x <> y").select("w1", "w2")
-        spans = spans.union(strings.join(known, ["w1", "w2"]).groupBy(*context).agg(F.collect_list(F.expr(f"struct(int(start) AS s, int(start + {length}) AS e)"))))
-    absolute = found_again.join(spans, context).select("doc_id", "t1", F.explode(F.expr("transform(at, p -> transform(spans, x -> struct(x.s + p AS s, x.e + p AS e)))")).alias("x"))
-    return absolute.select("doc_id", "t1", F.explode("x").alias("x")).groupBy("doc_id", "t1").agg(F.collect_set("x").alias("spans"))
+        known = strings.groupBy("w1", "w2").agg(F.min(place).alias("x"), F.max(place).alias("y"), F.count("*").alias("n")).where("x <> y").select("w1", "w2", "n")
+        known = stored(known, "known")
+        known = spread_join(strings, known.select("w1", "w2"), ["w1", "w2"], heavy_keys(known, ["w1", "w2"], strings.count()))
+        spans = spans.union(known.groupBy(*context).agg(F.collect_list(F.expr(f"struct(int(start) AS s, int(start + {length}) AS e)"))))
+    heavy = heavy_keys(contexts.where("places > 1"), context, again.count())
+    # joined twice where there are heavy keys
+    spans = stored(spans, "runs") if heavy else spans
+    absolute = spread_join(again, spans, context, heavy)
+    absolute = absolute.select("doc_id", "t1", F.explode(F.expr("transform(at, p -> transform(spans, x -> struct(x.s + p AS s, x.e + p AS e)))")).alias("x"))
+    out = stored(absolute.select("doc_id", "t1", F.explode("x").alias("x")).groupBy("doc_id", "t1").agg(F.collect_set("x").alias("spans")), "spans")
+    for x in (again, contexts, several, cut, spans):
+        drop(x)
+    return out
 
 
 def merged(spans: list[dict]) -> list[tuple[int, int]]:
@@ -309,7 +324,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, digest: bool = False) ->
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows = rows.select("id", F.coalesce("id", F.lit(-1)).alias("doc_id"), F.xxhash64("text").alias("t1"), "text")
+    # the mark tells a null id from the least one
+    rows = rows.select("id", F.coalesce("id", F.lit(-(1 << 63))).alias("doc_id"), F.xxhash64("text", F.col("id").isNull()).alias("t1"), "text")
     spans = repeated_spans(rows.select("doc_id", "t1", "text"), length)
     out = rows.join(spans, ["doc_id", "t1"], "left").select(F.col("id").alias("doc_id"), "text", "spans")
     if digest:
