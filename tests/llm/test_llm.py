@@ -78,6 +78,55 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_stored_tables_have_owners(spark, docs):
+    import os
+
+    from vigil.llm import session
+
+    def files():
+        home = f"{session.shared_folder(spark)}/vigil/{spark.sparkContext.applicationId}"
+        return set(os.listdir(home)) if os.path.isdir(home) else set()
+
+    before = files()
+    with session.scratch():
+        kept = session.keep(session.stored(minhash_dedup.near_duplicates(docs.where("doc_id < 200")), "kept"))
+        repeats.remove_repeats(docs.where("doc_id < 200"), digest=True).count()
+        line_dedup.dedup_lines(docs.where("doc_id < 200")).count()
+        embedding_dedup.near_duplicate_vectors(spark.createDataFrame([(1, [1.0], 1)], "vec_id long, embedding array<float>, label int")).count()
+    assert {x.split("-")[0] for x in files() - before} == {"kept"} and kept.count() > 0
+    session.drop(kept)
+    assert files() == before
+
+
+def test_shared_folder_must_be_named_on_a_cluster(spark, monkeypatch):
+    from vigil.llm import session
+
+    class Context:
+        master = "spark://host:7077"
+
+    class Session:
+        sparkContext = Context
+        conf = {}
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        session.shared_folder(Session)
+    Session.conf = {"spark.checkpoint.dir": "/shared/"}
+    assert session.shared_folder(Session) == "/shared"
+
+
+def test_heavy_keys_join_as_others(spark, monkeypatch):
+    from vigil.llm import session
+
+    monkeypatch.setattr(session, "HEAVY_ROWS", 10)
+    monkeypatch.setattr(session, "HEAVY", 20)
+    big = spark.createDataFrame([(0 if i % 3 == 0 else i % 40, i) for i in range(900)], "k long, v long")
+    small = spark.createDataFrame([(k, k * k) for k in range(0, 40, 2)], "k long, w long")
+    counts = big.groupBy("k").agg(toxicity.F.count("*").alias("n"))
+    heavy = session.heavy_keys(counts, ["k"], 900)
+    assert [r["k"] for r in heavy.collect()] == [0]
+    assert sorted(session.spread_join(big, small, ["k"], heavy).collect()) == sorted(big.join(small, "k").collect())
+
+
 # quality -------------------------------------------------------------------------------------------------------------
 
 
@@ -152,6 +201,74 @@ def test_vectors_against_brute_force(spark, monkeypatch, block):
     assert all(r["kept"] == (r["vec_id"] == r["component_id"]) for r in got)
 
 
+def test_plans_of_any_size():
+    before = 0
+    for n in (0, 1, 150, 10**4, 2 * 10**7, 10**9, 10**12):
+        g, tables = embedding_dedup.Plan.size(n)
+        assert g <= 40 and before <= tables <= 1000
+        before = tables
+    # against the plain sum of binomials
+    import math
+
+    for m, p, recall in ((32, 0.98758, 1 - 1e-6), (10, 0.5, 0.9), (64, 0.9, 0.999)):
+        tail = lambda a: sum(math.comb(m, k) * (1 - p) ** k * p ** (m - k) for k in range(a + 1, m + 1))  # noqa: E731, B023
+        a = embedding_dedup.allowed_misses(m, p, recall)
+        assert tail(a) <= 1 - recall < tail(a - 1)
+    assert embedding_dedup.Plan.of(64, 2 * 10**7, 0.98).directions.shape[0] == 64
+
+
+def test_recall_at_the_threshold():
+    """Pairs a little above the threshold, through cells, windows and counts, as for labels of 20,000 vectors: none of 4,000 is missed."""
+    rng = np.random.default_rng(8)
+    plan = embedding_dedup.Plan.of(64, 20_000, 0.98)
+    a = rng.standard_normal((4000, 64))
+    a /= np.linalg.norm(a, axis=1, keepdims=True)
+    off = rng.standard_normal((4000, 64))
+    off -= (off * a).sum(axis=1, keepdims=True) * a
+    off /= np.linalg.norm(off, axis=1, keepdims=True)
+    b = 0.9801 * a + (1 - 0.9801**2) ** 0.5 * off
+    (ca, fa, ka), (cb, fb, kb) = plan.project(a), plan.project(b)
+    met = (ka == kb) & (np.abs(fa - fb) <= plan.window)
+    assert met.any(axis=1).all() and 0.4 < met.mean() < 0.8
+    missed = (np.abs(ca.astype(int) - cb) > embedding_dedup.STEPS).sum(axis=1)
+    assert (missed <= plan.misses).all() and missed.sum() > 0
+    # unrelated vectors seldom pass
+    passing = list(plan.collisions(fa[:, 0], ca, np.full(4000, 2)))
+    assert sum(len(i) for i, _ in passing) < 4000
+
+
+def test_vectors_of_all_magnitudes_and_labels(spark):
+    one = np.random.default_rng(2).standard_normal(8)
+    rows = [(1, (one * 1e300).tolist(), "a"), (2, (one * 1e-300).tolist(), "a"), (3, (one * 3e200).tolist(), "a"), (4, one.tolist(), "b"), (5, (-one).tolist(), "a"), (6, [float("inf")] + [1.0] * 7, "a"), (7, [0.0] * 8, "a"), (8, (one * 2).tolist(), None)]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == {1: (2, 1), 2: (2, 1), 3: (2, 1), 4: (0, 4), 5: (0, 5), 6: (0, 6), 7: (0, 7), 8: (0, 8)}
+
+
+def test_many_vectors_with_clusters(spark):
+    """Clusters of all sizes among thousands of strangers, with a cell that is dealt out."""
+    rng = np.random.default_rng(7)
+    rows = [rng.standard_normal(32) for _ in range(3000)]
+    centre = rng.standard_normal(32)
+    rows += [centre + rng.normal(0, 0.1, 32) for _ in range(700)]
+    for _ in range(60):
+        c = rng.standard_normal(32)
+        rows += [c + rng.normal(0, rng.uniform(0.02, 0.2), 32) for _ in range(rng.integers(2, 9))]
+    rows = [(i, x.astype(np.float32).tolist(), 0) for i, x in enumerate(rows)]
+    x = np.array([r[1] for r in rows], dtype=float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = x @ x.T >= 0.98
+    np.fill_diagonal(near, False)
+    label = np.arange(len(rows))
+    while True:
+        new = np.array([min([label[i], *label[near[i]]]) for i in range(len(rows))])
+        if (new == label).all():
+            break
+        label = new
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    assert got == {i: (int(near[i].sum()), int(label[i])) for i in range(len(rows))}
+    assert near.sum() > 1000
+
+
 def test_vectors_odd(spark):
     kind = "vec_id long, embedding array<float>, label int"
     assert embedding_dedup.near_duplicate_vectors(spark.createDataFrame([], kind)).count() == 0
@@ -163,20 +280,39 @@ def test_vectors_odd(spark):
 # lines ---------------------------------------------------------------------------------------------------------------
 
 
-def brute_lines(rows, divisor=line_dedup.DIVISOR):
-    """Cuts with the operator's own boundaries, one text at a time, and removes later chunks of equal bytes."""
-    from vigil.llm import kernel as K
+def plain_chunks(lines):
+    """(first line, lines) of chunks, cut by hand: the rank of a place is mixed from the hashes of the line before it and of that line's forerunner."""
+    mask, golden = (1 << 64) - 1, 0x9E3779B97F4A7C15
+
+    def mix(x):
+        x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & mask
+        x = (x ^ x >> 27) * 0x94D049BB133111EB & mask
+        return x ^ x >> 31
+
+    def line_hash(b):
+        total = 0
+        for j, c in enumerate(b):
+            total += (mix((c + 1 + mix(3)) & mask) | 1) * pow(golden, j, 1 << 64)
+        return mix((total + len(b) * 0xA0761D6478BD642F) & mask)
 
+    h = [line_hash(x.encode()) for x in lines]
+    rank = [mix((h[k] * 3 + (h[k - 1] if k else 1)) & mask) for k in range(len(h))]
+    cut = {-1, len(lines) - 1}
+    for k in sorted(range(len(lines)), key=lambda k: (rank[k], k)):
+        if not cut & {k - 1, k, k + 1}:
+            cut.add(k)
+    ends = sorted(cut)
+    return [(a + 1, b - a) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+
+
+def brute_lines(rows):
+    """Removes later chunks of equal bytes, of two lines or more with something on them, one text after another."""
     first, out = {}, {}
     for i, text in sorted(rows.items()):
-        data = np.frombuffer(text.encode(), dtype=np.uint8)
         lines, gone = text.split("\n"), set()
-        if len(data):
-            _, line, count, start, end = line_dedup.line_chunks(data, np.array([0, len(data)]), K.SpanHash(data, line_dedup._VALUES), divisor)
-            assert sum(count) == len(lines) and line[0] == 0
-            for a, n, s, e in zip(line, count, start, end, strict=True):
-                chunk = text.encode()[s:e]
-                assert chunk == "\n".join(lines[a : a + n]).encode()
+        if text:
+            for a, n in plain_chunks(lines):
+                chunk = "\n".join(lines[a : a + n]).encode()
                 if n > 1 and chunk.strip(b" \t\n\r\x0b\x0c"):
                     if chunk in first:
                         gone |= set(range(a, a + n))
@@ -191,6 +327,20 @@ def test_lines_against_brute_force(docs, texts, bits):
     assert got == brute_lines(texts)
 
 
+def test_very_common_lines(spark, monkeypatch):
+    """A passage in a third of all documents, and documents without an id."""
+    from vigil.llm import session
+
+    monkeypatch.setattr(session, "HEAVY_ROWS", 5)
+    common = "\n".join(f"common line {k} of the passage" for k in range(4))
+    rows = {i: (common + f"\nown {i}\nmore {i}" if i % 3 == 0 else f"own {i}\nother {i}\n" * (i % 4) + f"end {i}") for i in range(120)}
+    got = {r["doc_id"]: (r["text"], r["n_removed_lines"]) for r in line_dedup.dedup_lines(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
+    assert got == brute_lines(rows) and sum(n for _, n in got.values()) >= 70
+    odd = [(None, common), (-(1 << 63), common), (None, common), (5, common)]
+    left = [r["n_removed_lines"] for r in line_dedup.dedup_lines(spark.createDataFrame(odd, "doc_id long, text string")).collect()]
+    assert sorted(left) in ([0, 0, 4, 4], [0, 4, 4, 4])
+
+
 def test_line_boundaries_resist_shifts(spark):
     rng = random.Random(2)
     line = lambda: " ".join(str(rng.randrange(1000)) for _ in range(6))
@@ -486,6 +636,18 @@ def test_near_duplicates_odd(odd, none):
     assert minhash_dedup.near_duplicates(none).count() == 0
 
 
+def test_one_of_each_group_stays(spark, odd, none):
+    a, b, c = ("a b c d e f g h", "gamma delta epsilon zeta eta theta", "no such words anywhere in here")
+    rows = [(1, a), (1, a), (1, b), (2, b), (2, c), (3, a), (None, a), (4, ""), (4, ""), (5, None)]
+    kept = minhash_dedup.keep_one(spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, kept int"))
+    assert kept.columns == ["doc_id", "text", "kept"]
+    got = sorted(((r[0], r[1]) for r in kept.collect()), key=repr)
+    assert got == sorted([(1, a), (1, b), (2, c), (None, a), (4, ""), (4, ""), (5, None)], key=repr)
+    unique = [(i, t) for i, t in enumerate([a, b, a, c, "", b])]
+    assert sorted(r[0] for r in minhash_dedup.keep_one(spark.createDataFrame(unique, "doc_id long, text string")).collect()) == [0, 1, 3, 4]
+    assert minhash_dedup.keep_one(odd).columns == odd.columns and minhash_dedup.keep_one(none).count() == 0
+
+
 def test_sketch_estimates_similarity():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2**63, 900, dtype=np.int64).view(np.uint64)
@@ -519,9 +681,63 @@ def rows_of(df):
     return sorted(((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in df.collect()), key=repr)
 
 
+def brute_repeats_by_hash(rows, length):
+    """As ``brute_repeats``, with strings told apart by a polynomial of their bytes modulo a prime, for whole tables."""
+    prime, base = (1 << 61) - 1, 911382323
+    top = pow(base, length - 1, prime)
+    raw, seen = [(i, (t or "").encode()) for i, t in rows], collections.Counter()
+    hashes = []
+    for _, x in raw:
+        own, h = [], 0
+        for j, c in enumerate(x):
+            if j >= length:
+                h = (h - x[j - length] * top) % prime
+            h = (h * base + c) % prime
+            if j >= length - 1:
+                own.append(h)
+        hashes.append(own)
+        seen.update(own)
+    out = []
+    for (i, x), own in zip(raw, hashes, strict=True):
+        kept, n, spans, end = [], 0, 0, -1
+        starts = [j for j, h in enumerate(own) if seen[h] > 1]
+        at = 0
+        for j in starts:
+            if j > end:
+                kept.append(x[at:j])
+                spans += 1
+                end = at = j
+            n += j + length - max(end, j)
+            end = at = j + length
+        kept.append(x[at:])
+        out.append((i, len(x), n, spans, hashlib.sha256(b"".join(kept)).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def test_repeats_over_the_whole_table(spark, docs, texts):
+    rows = list(texts.items())
+    want = brute_repeats_by_hash(rows, 400)
+    assert brute_repeats_by_hash(rows[:60], 400) == brute_repeats(rows[:60], 400)
+    assert rows_of(repeats.remove_repeats(docs, digest=True)) == want
+    assert sum(r[2] > 0 for r in want) > 100
+    # of passages of over 50 words that stand in several documents, only ones under 400 bytes may stay
+    places = collections.defaultdict(set)
+    for i, t in rows:
+        for line in t.split("\n"):
+            if len(line.split()) > 50:
+                places[line].add(i)
+    removed = {r[0]: r[2] for r in want}
+    shared = {line: ids for line, ids in places.items() if len(ids) > 1}
+    assert len(shared) > 20
+    assert all(removed[i] >= 400 for line, ids in shared.items() if len(line.encode()) >= 400 for i in ids)
+
+
 @pytest.mark.parametrize("hot", [2000, 2])
 def test_repeats_against_brute_force(spark, docs, texts, monkeypatch, hot):
+    from vigil.llm import session
+
     monkeypatch.setattr(repeats, "HOT", hot)
+    monkeypatch.setattr(session, "HEAVY_ROWS", 5)
     some = [(i, t) for i, t in texts.items() if i < 400]
     got = rows_of(repeats.remove_repeats(spark.createDataFrame(some, "doc_id long, text string"), digest=True))
     assert got == brute_repeats(some, 400)
