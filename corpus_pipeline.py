@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from vigil.llm.decontaminate import decontaminated
 from vigil.llm.line_dedup import dedup_lines
-from vigil.llm.minhash_dedup import near_duplicates
+from vigil.llm.minhash_dedup import keep_one
 from vigil.llm.packing import pack_documents
 from vigil.llm.quality import keep_good
 from vigil.llm.queries import tokenizer_path
-from vigil.llm.session import drop, stored
+from vigil.llm.session import drop, keep, scratch, stored
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,8 +29,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one of the smallest doc_id."""
-    gone = near_duplicates(docs, percent=80).where("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return keep_one(docs, percent=80)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +52,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; what a stage returns is written to the shared folder for the next."""
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), name)
+        with scratch():
+            docs = keep(stored(stage(spark, docs, sf_dir), name))
         drop(before)
         before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
