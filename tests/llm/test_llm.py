@@ -471,9 +471,34 @@ def test_page_parts():
     assert html_text.main_text(deep) == "deep"
 
 
+def test_names_inside_the_article(monkeypatch):
+    """A section's name doesn't take it out, an unmistakable one does, and the ratio settles names that say two things."""
+    story = "".join(f"<p>Paragraph {i} of the story goes on, with some length, and ends here at last.</p>" for i in range(4))
+    said = re.sub("<[^>]+>", " ", story).replace("  ", " ").strip()
+
+    def read(part):
+        text = html_text.main_text(f"<body><article>{story}{part}<p>End.</p></article><div class=related>More, of other things, to read.</div></body>")
+        assert text.startswith(said) and text.endswith(" End.")
+        return text[len(said) : -5].strip()
+
+    for name in ("discussion", "legal-history", "search", "side-effects", "replies-to-critics", "followUp", "legal", "with-comments"):
+        for part in (f"<section id={name}><h2>Title</h2><p>Short.</p></section>", f"<div class='{name}'>Title Short.</div>", f"<a class={name} href=x>Title</a> <span class={name}>Short.</span>"):
+            assert read(part) == "Title Short.", (name, part)
+    assert read("<pre>x <span class=comment>note</span></pre>") == "x note"
+    for name in ("comments", "share", "share-buttons", "commentList", "related-posts", "ad ad-slot-3", "newsletter-form", "cookie-notice"):
+        assert read(f"<div class='big {name}'><p>Something else, with words, and signs, and more words to fill a line.</p></div>") == "", name
+    assert read("<div role=complementary>Aside.</div><aside>Aside.</aside><form>Form</form>") == ""
+    priced = "<div class=share-price><h3>Price</h3><p>The price of a share fell, for once, by more than a tenth.</p></div>"
+    tools = "<div class=share-price-tools><b>Tweet</b> Pin</div>"
+    assert read(priced) == "Price The price of a share fell, for once, by more than a tenth." and read(tools) == ""
+    assert html_text.main_text("<article><div class=share-price>Alone</div></article>") == "Alone"
+    monkeypatch.setattr(html_text, "DOUBTED", 0.0)
+    assert read(tools) == "Tweet Pin"
+
+
 def test_pages_of_many_paths():
     """One long paragraph and short ones, each with a path of its own: no size loses the short ones."""
-    for n in (399, 400, 1500):
+    for n in (399, 400, 10_000):
         names = ["".join(chr(97 + i // 26**k % 26) for k in range(4)) for i in range(n)]
         texts = ["Long words, all of them. " * 20] + [f"Section {x} has a text of its own, and says a little more in it." for x in names[1:]]
         page = "<body>" + "".join(f"<div id=z{x}><p>{t}</p></div>" for x, t in zip(names, texts, strict=True)) + "</body>"

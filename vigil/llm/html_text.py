@@ -4,7 +4,9 @@ After Wu et al. (2013): text nodes are put together by their root-to-leaf path o
 as pages repeat a path for one kind of content. For each path the text length and the punctuation per node are taken,
 smoothed over paths nearby in the tree, fused with what the page says about its parts (an article element, roles,
 names such as sidebar or comment) and with the share of text in links, and paths above a threshold relative to the
-best one are content. Short paragraphs so live or die with their path and not by their own length.
+best one are content. Short paragraphs so live or die with their path and not by their own length. Where the page marks
+its article, a name inside takes a part out only if it is a whole and unmistakable one (comments, share-buttons); a part
+of which a name says something else too (share-price) is judged by the ratio of the path it heads.
 """
 
 from __future__ import annotations
@@ -32,6 +34,11 @@ CLOSES_LIKE = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd
 NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion promoted cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup signin login register paywall sidebar side rail widget widgets menu menus nav navbar navigation breadcrumb breadcrumbs crumbs topbar masthead footer foot colophon comment comments commentlist disqus reply replies respond discussion share sharing social follow related recommended recommendations recommendation suggestions trending popular pagination pager search toolbar skip hidden copyright legal disclaimer tagcloud tags outbrain taboola".split()
 )
+#: Those that are unmistakable inside an article too, and words that such a name may have beside them.
+SURE_NAMES = frozenset(
+    "ad ads adv advert adverts advertisement advertisements advertising adsense sponsored promo promoted banner cookie cookies gdpr consent notice notices newsletter subscribe sidebar widget widgets navbar nav navigation menu menus breadcrumb breadcrumbs pagination pager toolbar comment comments commentlist disqus share sharing social related recommended recommendations popup modal overlay paywall outbrain taboola".split()
+)
+PART_NAMES = frozenset("area bar block body bottom box button buttons container content form header footer icon icons inner item items left link links list main outer panel post posts right section site slot thread title top unit wrap wrapper".split())
 HEADERS = frozenset("header head".split())
 HEADER_NAMES = HEADERS | frozenset("site page top global main wrapper container inner".split())
 #: Words that make a name tell about a part rather than be one, as in with-sidebar.
@@ -40,7 +47,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 ARTICLE = frozenset("article main".split())
 ARTICLE_NAMES = frozenset("article post entry story content main maincontent articlebody body text".split())
 
-LINKED, OUTSIDE, SHARE = 0.75, 0.08, 0.12
+LINKED, OUTSIDE, SHARE, DOUBTED = 0.75, 0.08, 0.12, 0.1
 #: Steps apart from which on paths have no weight in each other's smoothing.
 NEAR = 6
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
@@ -56,12 +63,16 @@ class Element:
     step: str
     skipped: bool
     article: bool
+    doubted: bool = False
 
 
 @dataclass
 class Block:
+    """``doubted``: how many steps of the path lead to its outermost part with a doubtful name, 0 if none has."""
+
     path: tuple[str, ...]
     article: bool
+    doubted: int = 0
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
@@ -85,13 +96,20 @@ def _element(tag: str, attributes: str, parent: Element | None) -> Element:
     style = re.sub(r"\s", "", values.get("style", "").lower())
     skipped = tag in SKIPPED or role in ROLES or "display:none" in style or "visibility:hidden" in style or "hidden" in values or values.get("aria-hidden") == "true"
     block = tag not in INLINE and tag not in ("html", "body") and tag not in HEADINGS
-    if block or tag in ("a", "span"):
+    doubted = False
+    if inside:
+        if words & SURE_NAMES and block and tag not in ARTICLE:
+            told = [{w.lower() for w in _NAME.findall(x)} - ABOUT for k in ("class", "id") for x in values.get(k, "").split() if not ABOUT & {w.lower() for w in _NAME.findall(x)}]
+            told = [{w for w in x if not w.isdigit()} for x in told if x & SURE_NAMES]
+            skipped |= any(x <= SURE_NAMES | PART_NAMES for x in told)
+            doubted = bool(told)
+    elif block or tag in ("a", "span"):
         skipped |= bool(words & NAMES) and not words & ABOUT and tag not in ARTICLE
     if block and not inside:
         skipped |= tag == "header" or bool(words & HEADERS) and words <= HEADER_NAMES
     article = inside or tag in ARTICLE or role in ("main", "article") or "articlebody" in values.get("itemprop", "").lower() or block and bool(words) and words <= ARTICLE_NAMES
     step = tag + "".join(f".{w}" for w in sorted(words) if not w.isdigit())
-    return Element(tag, step, skipped or parent is not None and parent.skipped, article)
+    return Element(tag, step, skipped or parent is not None and parent.skipped, article, doubted)
 
 
 def blocks(page: str) -> list[Block]:
@@ -108,8 +126,9 @@ def blocks(page: str) -> list[Block]:
         if current is None:
             if not text.strip():
                 return
-            steps = tuple(e.step for e in stack if e.tag not in INLINE and e.tag not in ("html", "body"))
-            current = Block(steps, bool(stack) and stack[-1].article)
+            steps = [e for e in stack if e.tag not in INLINE and e.tag not in ("html", "body")]
+            doubted = next((i for i, e in enumerate(steps, 1) if e.doubted), 0)
+            current = Block(tuple(e.step for e in steps), bool(stack) and stack[-1].article, doubted)
             out.append(current)
         current.parts.append(text)
         if links:
@@ -260,9 +279,16 @@ def main_text(page: str | None) -> str:
         score[p] = fused
     floor = SHARE * max(score.values())
     if any_article:
-        # a page that marks its article vouches for what is in it; paths outside must beat all of them
+        # a page that marks its article vouches for what is in it, but for parts of doubtful names that head a path of
+        # far lower ratio than the article's best; paths outside must beat all of them
+        doubts = {b.path: b.path[: b.doubted] for b, _ in found if b.doubted}
+        sure = [q for q in paths if inside[q] and q not in doubts]
+        heads: dict[tuple[str, ...], float] = {}
+        for p, head in doubts.items():
+            heads[head] = max(heads.get(head, 0.0), ratio[p] * (paths[p][3] <= LINKED * paths[p][1]))
+        low = DOUBTED * max((ratio[q] for q in sure), default=0.0)
         best = max(score[q] for q in paths if inside[q])
-        kept = {p for p in paths if inside[p] or score[p] > best}
+        kept = {p for p in paths if (heads[doubts[p]] >= low if p in doubts else inside[p] or score[p] > best)}
     else:
         kept = {p for p in paths if score[p] >= floor}
     return " ".join(t for b, t in found if b.path in kept and score[b.path] > 0)
