@@ -2,12 +2,14 @@
 
 A word written with digits, signs, dots, gaps or repeated letters is a noisy observation of a plain one. Its characters
 open a lattice (a letter is itself or a repetition to drop; a digit or sign is one of the letters it looks like, or
-nothing; a gap or separator joins or parts), and a Viterbi search that keeps the ``BEAM`` cheapest states after each
-character, so isn't exact, finds a path of low cost under a character trigram model, counted over all documents. What is scored are the plain words and the restored ones.
+nothing; a gap or separator joins or parts), and a Viterbi search over all its states (the last two symbols) finds the
+path of least cost under a character trigram model, counted over all documents. What is scored are the plain words and
+the restored ones.
 
 A lexicon gives each word and word beginning or ending its log-odds of standing in a toxic document; a document's
 score comes from its highest words through a logistic regression. Labels are read only for rows in the training part:
-at most ``SAMPLE`` of them, of the smallest hashes of doc_id. The lexicon and the regression use different rows.
+at most ``SAMPLE`` of them, of the smallest hashes of doc_id. The lexicon and the regression use different rows; the
+lexicon takes every feature of ``LEAST_DOCS`` toxic rows, so the sample bounds its size.
 """
 
 from __future__ import annotations
@@ -27,7 +29,6 @@ from vigil.llm.logistic import fit, logit, sigmoid
 from vigil.llm.session import bounded_batches, smallest
 
 SAMPLE = 50_000
-LEXICON = 200_000
 LEAST_DOCS = 3
 THRESHOLD = 0.7
 #: Letters: 0 for all that is none, a-z, and Latin letters of two bytes by the low five bits of the second.
@@ -36,8 +37,8 @@ SYMBOLS = 59
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "li", "+": "t", "(": "c", "€": "e"}
 DROPPED = ".-_*~'^:,/#`"
 DOUBLED, REPEATED, LOOKED, SKIPPED, SKIPPED_SIGN, GAP_KEPT, GAP_SIGN = 1.5, 0.2, 0.7, 0.4, 12.0, 0.0, 1.0
-BEAM = 10
-LONGEST = 48
+#: Stretches of up to so many characters, of all lengths decoded, have their answers kept for the next time.
+REMEMBERED = 48
 BEGINNINGS, ENDINGS = (4, 5, 6, 8), (5, 7)
 _LETTERS = np.zeros(256, dtype=np.int64)
 _LETTERS[97:123] = _LETTERS[65:91] = np.arange(1, 27)
@@ -134,13 +135,13 @@ class Restorer:
                 key, (_, path) = new.popitem()
                 done += _written(path)
                 new[key] = (0.0, None)
-            paths = dict(sorted(new.items(), key=lambda x: x[1][0])[:BEAM]) if len(new) > BEAM else new
+            paths = new
             last = c
         return "".join(done + _written(min(((cost + costs[a][b][0], path) for (a, b), (cost, path) in paths.items()), key=lambda x: x[0])[1]))
 
     def long(self, seen: str) -> str:
-        """Of a run of any length, decoded whole; answers for runs beyond ``LONGEST`` aren't kept."""
-        return self.word(seen) if len(seen) <= LONGEST else self._decode(seen)
+        """Of a run of any length, decoded whole; answers for runs beyond ``REMEMBERED`` aren't kept."""
+        return self.word(seen) if len(seen) <= REMEMBERED else self._decode(seen)
 
 
 def _written(path: tuple | None) -> list[str]:
@@ -347,7 +348,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     for_lexicon = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)) < 2
     own = rows.where(for_lexicon)
     found = own.where("toxic = 1").select("text").mapInArrow(_seen_in_toxic(model.costs), "f long, n long").groupBy("f").agg(F.sum("n").alias("n"))
-    found = found.where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "f").limit(LEXICON).toArrow()
+    found = found.where(F.col("n") >= LEAST_DOCS).select("f").toArrow()
     features = np.sort(found["f"].to_numpy().view(np.uint64)) if found.num_rows else np.empty(0, dtype=np.uint64)
     seen = own.select("text", "toxic").mapInArrow(_seen_among(model.costs, features), "f long, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()
     f, n0, n1 = (seen[c].to_numpy() for c in ("f", "n0", "n1"))
