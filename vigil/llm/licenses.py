@@ -167,7 +167,7 @@ def train(paragraphs: DataFrame) -> Classifier:
     families = [*sorted(TEMPLATES), UNKNOWN]
     # a template's triples: some hundreds, fixed here
     taken = sorted({t for r in known.where(F.col("family") != UNKNOWN).select(F.explode(triples(words(F.col("text")))).alias("t")).distinct().collect() for t in [r["t"]]})
-    others = paragraphs.select(F.substring("text", 1, 2000).alias("text")).orderBy(F.xxhash64("text"), "text").limit(NEGATIVES)
+    others = paragraphs.select("text").orderBy(F.xxhash64("text"), "text").limit(NEGATIVES)
     others = others.where(~F.arrays_overlap(triples(words(F.col("text"))), F.lit(taken))).select("text", F.lit(UNKNOWN).alias("family"), F.pmod(F.xxhash64("text"), F.lit(4)).cast("int").alias("part"))
     number = F.coalesce(*[F.when(F.col("family") == f, F.lit(float(i))) for i, f in enumerate(families)])
     rows = _grams(known.unionByName(others)).withColumn("label", number).withColumn("weight", F.when(F.col("family") == UNKNOWN, 1.0).otherwise(4.0)).repartition(2, "text").cache()
