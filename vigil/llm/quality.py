@@ -11,6 +11,7 @@ scoring reads every document.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -75,7 +76,7 @@ def page_view(lang: list, source: list, n_chars: list) -> np.ndarray:
         out[i, 1] = c is None
         for x, first, many in ((a, 2, LANG_BUCKETS), (b, 2 + LANG_BUCKETS, SOURCE_BUCKETS)):
             if x is not None:
-                out[i, first + K.mix_int(int.from_bytes(str(x).encode()[:64], "big") ^ len(str(x))) % many] = 1
+                out[i, first + zlib.crc32(str(x).encode()) % many] = 1
     return out
 
 
@@ -174,10 +175,10 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     bounded_batches(docs.sparkSession)
     rows = _standard(docs).withColumn("mark", F.xxhash64("doc_id"))
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("int").alias("quality"))
-    few = smallest(known, F.xxhash64("doc_id"), SAMPLE, known.count(), "doc_id").withColumn("role", F.lit(0))
-    # half of the documents may be labelled: twice as many are looked at
-    near = smallest(rows.where("doc_id is not null").select("doc_id"), F.xxhash64("doc_id"), 4 * POOL, docs.count(), "doc_id")
-    pool = near.join(known, "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(POOL)
+    n_known = known.count()
+    few = smallest(known, F.xxhash64("doc_id"), SAMPLE, n_known, "doc_id").withColumn("role", F.lit(0))
+    free = rows.where("doc_id is not null").select("doc_id").join(known, "doc_id", "left_anti")
+    pool = smallest(free, F.xxhash64("doc_id"), POOL, max(docs.count() - n_known, 1), "doc_id")
     chosen = few.unionByName(pool.select("doc_id", F.lit(None).cast("int").alias("quality"), F.lit(1).alias("role")))
     # at most SAMPLE + POOL rows of 16 bytes
     sample = rows.join(F.broadcast(chosen), "doc_id").mapInArrow(_features, "role int, quality int, mark long, x array<float>, z array<float>").toArrow()
