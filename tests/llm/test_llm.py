@@ -160,6 +160,32 @@ def test_views_teach_each_other():
     assert ((model(x, z)[0] > 0.5) == y).mean() > 0.95
 
 
+def test_exchange_beats_the_seed_labels(monkeypatch):
+    """Two views of many weak features and few labels: pseudo-labels of the other view make both better."""
+
+    def right(rounds):
+        monkeypatch.setattr(quality, "ROUNDS", rounds)
+        shares = []
+        for seed in range(6):
+            rng = np.random.default_rng(seed)
+            y = rng.integers(0, 2, 5000)
+            x, z = (0.9 * y[:, None] + rng.normal(0, 1, (5000, 24)) for _ in range(2))
+            few, new = np.arange(5000) < 60, np.arange(5000) >= 3000
+            pool = ~few & ~new
+            model = quality.co_train(x[few], z[few], y[few], np.arange(60) % 2 == 0, x[pool], z[pool])
+            shares.append([((p[new] > 0.5) == y[new]).mean() for p in model(x, z)])
+        return np.mean(shares, axis=0)
+
+    without, with_rounds = right(0), right(4)
+    assert (with_rounds > without).all() and (1 - with_rounds[0]) < 0.8 * (1 - without[0]), (without, with_rounds)
+
+
+def test_sources_differ_behind_any_prefix():
+    names = ["https://host.example/" + "a" * 100 + c for c in "abcdefgh"]
+    rows = quality.page_view([None] * 8, names, [1] * 8)
+    assert len({tuple(r) for r in rows}) > 4
+
+
 # vectors -------------------------------------------------------------------------------------------------------------
 
 
@@ -929,6 +955,43 @@ def test_restoring_long_stretches_and_many_signs(docs):
     assert all(restorer.long("x " * k + "s t u p i d").endswith("stupid") for k in range(30))
 
 
+def test_decoder_finds_the_cheapest_path(docs):
+    import itertools
+
+    restorer = toxicity.Restorer(toxicity.language_model(docs.select("text")))
+    rng = random.Random(5)
+    for _ in range(60):
+        seen = "".join(rng.choice("aest10|!.- @") for _ in range(rng.randint(1, 8)))
+        runs = [sum(1 for _ in itertools.takewhile(lambda c: c == x, reversed(seen[:i]))) for i, x in enumerate(seen)]
+        best = {}
+        for path in itertools.product(*(restorer._options(c, k) for c, k in zip(seen, runs, strict=True))):
+            out = "".join(o for o, _ in path)
+            s = [0, 0, *map(toxicity.symbol, out), 0]
+            cost = sum(e for _, e in path) + sum(restorer.costs[a][b][c] for a, b, c in zip(s, s[1:], s[2:], strict=False))
+            best[out] = min(best.get(out, cost), cost)
+        assert best[restorer.long(seen)] == pytest.approx(min(best.values()))
+
+
+def test_planted_obfuscation_needs_the_decoder(docs, labels, monkeypatch):
+    """Clean held-out documents into which hidden insults are put score as toxic; without the decoder they don't."""
+    import pyarrow as pa
+
+    model = toxicity.train(docs, labels)
+    clean = docs.join(labels.where("toxic = 0"), "doc_id").where(toxicity.held_out()).orderBy("doc_id").limit(60)
+    clean = [r["text"] or "" for r in clean.collect()]
+    hidden = ["st.u-p_i*d l0s3r", "i d i o t", "s-t-u-p-i-d", "p4th3t1c", "tr@sh", "1d10t", "stuuuupiiiid", "l.o.s.e.r", "cl0wn", "$cum"]
+    rng = random.Random(2)
+    dirty = [" ".join([*t.split(" ")[:20], *rng.sample(hidden, 5), *t.split(" ")[20:]]) for t in clean]
+
+    def found(texts):
+        batch = pa.record_batch([pa.array(range(len(texts))), pa.array([True] * len(texts)), pa.array(texts)], names=["doc_id", "held_out", "text"])
+        return np.mean([x for out in toxicity._score(model, 0.7)(iter([batch])) for x in out["predicted"].to_pylist()])
+
+    assert found(clean) < 0.05 and found(dirty) > 0.9
+    monkeypatch.setattr(toxicity, "suspects", lambda *_: [])
+    assert found(dirty) < 0.1
+
+
 def test_toxicity_odd(odd, none, spark):
     few = spark.createDataFrame([(1, None, 1), (None, 1, 1), (6, 1, None), (3, 0, 0)], "doc_id long, quality int, toxic int")
     rows = toxicity.score_toxicity(odd, few).collect()
