@@ -102,6 +102,23 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
 
 
+def hinted(text: Column) -> Column:
+    """Whether ``HINTS`` matches the text in lower case. Its plain words are searched for one by one, far cheaper than alternatives at every place."""
+    plain = [h for h in HINTS.split("|") if h.isalpha()]
+    rest = [h for h in HINTS.split("|") if not h.isalpha()]
+
+    def found(low: Column) -> Column:
+        out = F.lit(False)
+        for h in plain:
+            out = out | F.contains(low, F.lit(h))
+        for h in rest:
+            out = out | low.rlike(h)
+        return out
+
+    # the lower-case text is bound once
+    return F.exists(F.array(F.lower(text)), found)
+
+
 def pairs(w: Column) -> Column:
     return F.zip_with(F.slice(w, F.lit(1), F.greatest(F.size(w) - 1, F.lit(0))), F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
 
@@ -202,7 +219,7 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     paragraphs = rows.select("doc_id", "mark", F.posexplode("lines").alias("line", "text"))
     some = smallest(rows.select("doc_id", "mark", "lines"), F.xxhash64("doc_id", "mark"), NEGATIVES, docs.count(), "lines").select(F.explode("lines").alias("text"))
     classify = train(some)
-    breaks = rows.where(F.lower("text").rlike(HINTS) & (F.size("lines") > 1)).select("doc_id", "mark", F.posexplode(around_breaks(F.col("lines"))).alias("line", "text")).where(F.lower("text").rlike(HINTS))
+    breaks = rows.where(hinted(F.col("text")) & (F.size("lines") > 1)).select("doc_id", "mark", F.posexplode(around_breaks(F.col("lines"))).alias("line", "text")).where(hinted(F.col("text")))
     templates = docs.sparkSession.createDataFrame([(f, t) for f, texts in TEMPLATES.items() for t in texts], "family string, template string")
     templates = templates.select("family", triples(words(F.col("template"))).alias("t")).groupBy("family").agg(F.collect_list("t").alias("templates"))
 
