@@ -87,9 +87,9 @@ def modwt(x: np.ndarray, levels: int, taps: np.ndarray = SYM4) -> tuple[list[np.
     return out, np.fft.ifft(low).real
 
 
-def modwt_features(x: np.ndarray) -> list[float]:
-    """Energy, entropy and excess kurtosis of three detail levels, and the share of energy in details."""
-    levels = min(3, int(math.log2(max(len(x) / 7, 2))))
+def modwt_features(x: np.ndarray, most: int = 5) -> list[float]:
+    """Energy, entropy and excess kurtosis of each detail level (``most`` at most, fewer in short windows), and the share of energy in details."""
+    levels = min(most, int(math.log2(max(len(x) / 7, 2))))
     details, smooth = modwt(x, levels)
     out, total = [], float(smooth @ smooth)
     for d in details:
