@@ -41,7 +41,7 @@ def stratified_even_sample(rows: DataFrame, limit: int, label: str = "label", or
     spark = rows.sparkSession
     wanted = spark.createDataFrame([(x, n, share[x]) for x, n in counts], f"{label} {dict(rows.dtypes)[label]}, total long, amount long")
     place = F.row_number().over(Window.partitionBy(label).orderBy(order)) - 1
-    numbered = rows.withColumn("place", place).join(F.broadcast(wanted), label)
+    numbered = rows.withColumn("place", place).join(wanted, label)
     # row p is taken if it is the whole part of k * (total - 1) / (amount - 1) for some k below amount
     step = (F.col("total") - 1).cast("double") / F.greatest(F.col("amount") - 1, F.lit(1))
     k = F.ceil(F.col("place") / step)

@@ -158,10 +158,10 @@ def fused_health(raw: DataFrame, upper: float = 0.99, alarm: float = 0.05) -> Da
     """
     v = _branches(raw)
     q = _calibration_quantiles(v, ["recording_id", "branch"], "value", middle=0.5, high=upper)
-    v = v.join(F.broadcast(q), ["recording_id", "branch"]).withColumn("health", 1 - normalised(F.col("value"), F.col("middle"), F.col("high")))
+    v = v.join(q, ["recording_id", "branch"]).withColumn("health", 1 - normalised(F.col("value"), F.col("middle"), F.col("high")))
     wide = v.groupBy("recording_id", "win_no", "calibration").agg(*[F.max(F.when(F.col("branch") == b, F.col("health"))).alias(f"{b}_health") for b in BRANCHES], F.avg("health").alias("shi"))
     low = _calibration_quantiles(wide, ["recording_id"], "shi", alarm_threshold=alarm)
-    out = wide.join(F.broadcast(low), "recording_id").withColumn("breach", F.col("shi") < F.col("alarm_threshold"))
+    out = wide.join(low, "recording_id").withColumn("breach", F.col("shi") < F.col("alarm_threshold"))
     before = F.coalesce(F.lag("breach").over(Window.partitionBy("recording_id").orderBy("win_no")), F.lit(False))
     return out.withColumn("persistent", F.col("breach") & before)
 
@@ -174,11 +174,11 @@ def reference_health(raw: DataFrame, config: ReferenceConfig = REFERENCE) -> Dat
     """
     v = _branches(raw)
     q = _calibration_quantiles(v, ["recording_id", "branch"], "value", middle=0.5, high=1 - config.target_fpr)
-    v = v.join(F.broadcast(q), ["recording_id", "branch"]).withColumn("health", logistic_health(F.col("value"), F.col("middle"), F.col("high"), config.odds))
+    v = v.join(q, ["recording_id", "branch"]).withColumn("health", logistic_health(F.col("value"), F.col("middle"), F.col("high"), config.odds))
     weights = reliability_weights(v.where("calibration"), ["recording_id"], config)
     log = F.col("weight") * F.log(F.greatest(F.least("health", F.lit(1.0)), F.lit(1e-6)))
-    fused = v.join(F.broadcast(weights), ["recording_id", "branch"]).groupBy("recording_id", "win_no", "calibration").agg(F.exp(F.sum(log)).alias("raw"))
+    fused = v.join(weights, ["recording_id", "branch"]).groupBy("recording_id", "win_no", "calibration").agg(F.exp(F.sum(log)).alias("raw"))
     q = _calibration_quantiles(fused, ["recording_id"], "raw", low=config.target_fpr, middle=0.5)
     shi = logistic_health(F.col("raw"), F.col("middle"), F.col("low"), config.odds, rising=True)
-    out = fused.join(F.broadcast(q), "recording_id").withColumn("shi", shi)
+    out = fused.join(q, "recording_id").withColumn("shi", shi)
     return out.select("recording_id", "win_no", "calibration", "raw", "shi", (F.col("shi") < 0.5).alias("alarm"))

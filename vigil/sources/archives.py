@@ -96,5 +96,5 @@ def read_samples(spark: SparkSession, path: str, jobs: DataFrame) -> DataFrame:
     A row that is no number fails with its line; so does another header.
     """
     wanted = jobs.where("source_format = 'csv'").groupBy("path").agg(F.collect_list(F.struct("job_id", "member")).alias("jobs"))
-    rows = _archives(spark, path).select("path", "content").join(F.broadcast(wanted), "path").select("content", "jobs")
+    rows = _archives(spark, path).select("path", "content").join(wanted, "path").select("content", "jobs")
     return rows.mapInPandas(_samples, "recording_id string, seq long, ts_ms long, axes int, x double, y double, z double")
