@@ -21,6 +21,10 @@ def mean(v: Column) -> Column:
     return total(v) / F.size(v)
 
 
+def mean_abs(v: Column) -> Column:
+    return total(F.transform(v, F.abs)) / F.size(v)
+
+
 def moment(v: Column, m: Column, k: int) -> Column:
     """Mean k-th power of the distances from ``m``."""
     return F.aggregate(v, F.lit(0.0), lambda a, x: a + reduce(lambda p, _: p * (x - m), range(k - 1), x - m)) / F.size(v)

@@ -41,6 +41,12 @@ def confusion(rows: DataFrame) -> DataFrame:
     return rows.groupBy("label", "predicted").agg(F.count("*").alias("n"))
 
 
+def accuracy(rows: DataFrame, *by: str) -> DataFrame:
+    """Per group: n and the share of rows whose health of one half or more agrees with label 0. Rows without either value don't count."""
+    known = rows.where(F.col("health").isNotNull() & F.col("label").isNotNull())
+    return known.groupBy(*by).agg(F.count("*").alias("n"), F.avg(((F.col("health") >= 0.5) == (F.col("label") == 0)).cast("double")).alias("accuracy"))
+
+
 def class_report(rows: DataFrame) -> DataFrame:
     """Precision, recall and F1 of each class, 0 where undefined, from one count of (label, predicted)."""
     c = confusion(rows)

@@ -247,6 +247,7 @@ ORACLE = {
     "sliding_windows_xyz": f"WITH {_XYZ}, {_windows(size=128, stride=64, extra='y AS vy; z AS vz')} SELECT recording_id, win_no, end_ts, {_r('list_avg(v)', 'mean_x', 9)}, {_r('sqrt(list_avg(list_transform(vy, lambda q: q * q)))', 'rms_y', 4)}, {_r('list_var_pop(vz)', 'variance_z')} FROM w",
     "first_window_fs": f"WITH {_S}, d AS (SELECT *, ts_ms - lag(ts_ms) OVER (PARTITION BY recording_id ORDER BY seq) AS step FROM s WHERE seq <= 64) SELECT recording_id, {_r('coalesce(1000 / quantile_cont(step, 0.5) FILTER (step > 0), 1.0)', 'fs', 12)} FROM d GROUP BY 1 HAVING count(*) = 64",
     "feat_time": f"WITH {_S}, {_windows()} SELECT recording_id, win_no, {_r('list_avg(v)', 'mean', 9)}, {_r('list_var_pop(v)', 'variance')}, {_r(_RMS, 'rms')} FROM w",
+    "feat_mean_abs": f"WITH {_S}, {_windows()} SELECT recording_id, win_no, {_r('list_avg(list_transform(v, lambda x: abs(x)))', 'mean_abs', 9)} FROM w",
     "feat_moments": f"WITH {_S}, {_windows()} SELECT recording_id, win_no, {_r(_SKEW, 'skewness')}, {_r(_KURT, 'kurtosis')} FROM w",
     "feat_zcr": f"WITH {_S}, {_windows()} SELECT recording_id, win_no, {_r('list_avg(' + _steps('(sign(#a - 50) <> sign(#b - 50))::INT') + ')', 'zcr', 9)} FROM w",
     "feat_stability": f"WITH {_S}, {_windows()} SELECT recording_id, win_no, {_r(_MSD, 'msd')} FROM w",
@@ -385,3 +386,11 @@ ORACLE["stratified_even_sample"] = """WITH r AS (SELECT (o_custkey % 5 * o_custk
   p AS (SELECT r.*, row_number() OVER (PARTITION BY label ORDER BY seq) - 1 AS place FROM r),
   t AS (SELECT label, unnest(list_transform(range(0, amount::BIGINT), lambda k: floor(k * ((n - 1)::DOUBLE / (amount - 1)))::BIGINT)) AS place FROM a)
   SELECT label, seq FROM p JOIN t USING (label, place)"""
+ORACLE["label_accuracy"] = f"""WITH {_LABEL}, {_windows(source='s')}, q AS (SELECT w.recording_id, label = 0 AS fine, round({_RMS}, 6) <= 60 AS guess FROM w JOIN hl ON hl.recording_id = w.recording_id AND hl.seq = 64 + (w.win_no - 1) * 16)
+  SELECT recording_id, count(*) AS n, {_r('avg((fine = guess)::INT)', 'accuracy', 9)} FROM q GROUP BY 1"""
+ORACLE["complete_jobs"] = """SELECT c_custkey AS job FROM customer
+  WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 0) AND c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderkey % 3 = 1)"""
+ORACLE["common_keys"] = "SELECT user_id FROM events GROUP BY 1 HAVING count(DISTINCT event_type) = (SELECT count(DISTINCT event_type) FROM events)"
+ORACLE["dataset_fingerprint"] = """WITH h AS (SELECT sha256(o_orderkey::VARCHAR || chr(9) || o_custkey::VARCHAR) AS h FROM orders),
+  p AS (SELECT h[1:3] AS part, count(*) AS n, sha256(string_agg(h, '' ORDER BY h)) AS h FROM h GROUP BY 1)
+  SELECT sum(n)::BIGINT AS n, sha256(string_agg(h, '' ORDER BY part)) AS fingerprint FROM p"""

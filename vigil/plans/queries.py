@@ -14,6 +14,7 @@ from vigil.operators import labels as L
 from vigil.operators import metrics as M
 from vigil.operators import rules as R
 from vigil.operators import scores as S
+from vigil.operators import selection as C
 from vigil.operators import windows as W
 from vigil.plans.oracle import MEMBERS, ORACLE
 from vigil.sources import adapter as D
@@ -52,7 +53,7 @@ def calibrated(spark: SparkSession, sf: str) -> DataFrame:
 def distances(spark: SparkSession, sf: str) -> DataFrame:
     values = calibrated(spark, sf)
     scale = S.calibration_scale(values.where("calibration"), ["recording_id", "feature"])
-    return S.distance(values.join(F.broadcast(scale), ["recording_id", "feature"]), ["recording_id", "win_no", "end_ts", "calibration"])
+    return S.distance(values.join(scale, ["recording_id", "feature"]), ["recording_id", "win_no", "end_ts", "calibration"])
 
 
 # windows and features ------------------------------------------------------------------------------------------------
@@ -104,6 +105,11 @@ def feat_stability(spark: SparkSession, sf: str) -> DataFrame:
     return ev_windows(spark, sf).select("recording_id", "win_no", r(A.mean_squared_step(F.col("v"))).alias("msd"))
 
 
+@query
+def feat_mean_abs(spark: SparkSession, sf: str) -> DataFrame:
+    return ev_windows(spark, sf).select("recording_id", "win_no", r(A.mean_abs(F.col("v")), 9).alias("mean_abs"))
+
+
 @query
 def calibration_scale(spark: SparkSession, sf: str) -> DataFrame:
     scale = S.calibration_scale(calibrated(spark, sf).where("calibration"), ["recording_id", "feature"])
@@ -152,7 +158,7 @@ def _simple(spark: SparkSession, sf: str) -> DataFrame:
     clean = S.unpivot(features(w.select(*keys, "v")), FEATURES, keys)
     seen = S.unpivot(features(w.select(*keys, F.col("v_observed").alias("v"))), FEATURES, keys).withColumnRenamed("value", "observed")
     scale = S.calibration_scale(clean, ["recording_id", "feature"]).drop("mean", "n")
-    both = clean.join(seen, [*keys, "feature"]).withColumnsRenamed({"value": "clean", "observed": "value"}).join(F.broadcast(scale), ["recording_id", "feature"])
+    both = clean.join(seen, [*keys, "feature"]).withColumnsRenamed({"value": "clean", "observed": "value"}).join(scale, ["recording_id", "feature"])
     d = S.distance(both, keys, "clean").join(fraction, keys)
     return d.withColumn("shi", F.when(F.col("fraction") == 0, 100.0).otherwise(S.distance_health(F.col("distance"))))
 
@@ -227,7 +233,7 @@ def calibration_bounds(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def calibration_bounds_brb(spark: SparkSession, sf: str) -> DataFrame:
     ends = ev_windows(spark, sf).select("recording_id", "win_no", "end_ts")
-    rows = ends.join(F.broadcast(_bounds(spark, sf)), "recording_id")
+    rows = ends.join(_bounds(spark, sf), "recording_id")
     inside = R.in_baseline(F.col("end_ts"), F.col("first_ts"), F.col("last_ts"), F.col("p"))
     return rows.groupBy("recording_id", "member").agg(F.count_if(inside).alias("inside"), F.count("*").alias("windows"))
 
@@ -243,7 +249,7 @@ def _interval(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def calibration_range_join(spark: SparkSession, sf: str) -> DataFrame:
     ends = ev_windows(spark, sf).select("recording_id", "win_no", "end_ts")
-    return ends.join(F.broadcast(_interval(spark, sf)), "recording_id").where("end_ts >= start AND end_ts < end").select("recording_id", "win_no", "end_ts")
+    return ends.join(_interval(spark, sf), "recording_id").where("end_ts >= start AND end_ts < end").select("recording_id", "win_no", "end_ts")
 
 
 @query
@@ -314,7 +320,7 @@ def _scored(spark: SparkSession, sf: str) -> DataFrame:
     """Windows with shi in [0, 1], flags and the recording's interval."""
     d = distances(spark, sf).withColumn("shi", r(S.distance_health(F.col("distance")), 6) / 100)
     low = d.where("calibration").groupBy("recording_id").agg(F.expr("percentile(shi, 0.05)").alias("low"))
-    d = d.join(F.broadcast(low), "recording_id").join(F.broadcast(_interval(spark, sf)), "recording_id").withColumnRenamed("end_ts", "ts_ms")
+    d = d.join(low, "recording_id").join(_interval(spark, sf), "recording_id").withColumnRenamed("end_ts", "ts_ms")
     d = d.withColumn("breach", F.col("shi") < F.col("low"))
     d = d.withColumn("persistent", M.persistent(F.col("breach"))).withColumn("event", F.col("win_no") % 9 == 0)
     d = d.withColumn("flags", M.pack_flags(F.col("breach"), F.col("persistent"), F.col("event")))
@@ -327,7 +333,7 @@ def persistent_breach(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _parts(spark: SparkSession, sf: str) -> DataFrame:
-    return ev_windows(spark, sf).select("recording_id", "win_no", "end_ts").join(F.broadcast(_interval(spark, sf)), "recording_id")
+    return ev_windows(spark, sf).select("recording_id", "win_no", "end_ts").join(_interval(spark, sf), "recording_id")
 
 
 @query
@@ -451,7 +457,7 @@ def quantile_calibration(spark: SparkSession, sf: str) -> DataFrame:
 def zscore_select(spark: SparkSession, sf: str) -> DataFrame:
     s = calibrated(spark, sf).where("calibration").groupBy("recording_id", "feature").agg(F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
     kept = s.where("s > 1e-6")
-    z = calibrated(spark, sf).join(F.broadcast(kept), ["recording_id", "feature"])
+    z = calibrated(spark, sf).join(kept, ["recording_id", "feature"])
     return z.select("recording_id", "win_no", "feature", r((F.col("value") - F.col("m")) / (F.col("s") + 1e-9), 5).alias("z"))
 
 
@@ -459,7 +465,7 @@ def zscore_select(spark: SparkSession, sf: str) -> DataFrame:
 def robust_envelope(spark: SparkSession, sf: str) -> DataFrame:
     x = ev_windows(spark, sf).select("recording_id", F.explode("v").alias("x"))
     middle = x.groupBy("recording_id").agg(F.expr("percentile(x, 0.5)").alias("m"), F.stddev_pop("x").alias("s"))
-    d = x.join(F.broadcast(middle), "recording_id").groupBy("recording_id", "m", "s").agg(F.expr("percentile(abs(x - m), 0.5)").alias("mad"))
+    d = x.join(middle, "recording_id").groupBy("recording_id", "m", "s").agg(F.expr("percentile(abs(x - m), 0.5)").alias("mad"))
     scale = F.greatest(1.4826 * F.col("mad"), 0.1 * F.col("s"), F.lit(1e-9))
     return d.select("recording_id", r("m").alias("median"), r("mad").alias("mad"), r(scale).alias("scale"))
 
@@ -475,7 +481,7 @@ def _branch_health(spark: SparkSession, sf: str) -> DataFrame:
     """Three branches' health in calibration: (recording_id, branch, health)."""
     v = calibrated(spark, sf).where("calibration AND feature IN ('mean', 'rms', 'msd')")
     q = v.groupBy("recording_id", "feature").agg(F.percentile("value", F.lit(0.5)).alias("m"), F.percentile("value", F.lit(0.95)).alias("t"))
-    v = v.join(F.broadcast(q), ["recording_id", "feature"])
+    v = v.join(q, ["recording_id", "feature"])
     return v.select("recording_id", "win_no", F.col("feature").alias("branch"), S.logistic_health(F.col("value"), F.col("m"), F.col("t")).alias("health"))
 
 
@@ -511,7 +517,7 @@ def brb_score(spark: SparkSession, sf: str) -> DataFrame:
     model = _categories(spark, sf).join(trust, keys).join(scale, keys)
     top = model.groupBy("recording_id").agg(F.max("expert").alias("top"))
     model = model.join(top, "recording_id").select(*keys, "category", "m", "s", S.composite_weight(F.col("expert") / F.col("top"), F.col("reliability")).alias("w"))
-    z = values.join(F.broadcast(model), keys).withColumn("z", F.abs((F.col("value") - F.col("m")) / F.col("s")))
+    z = values.join(model, keys).withColumn("z", F.abs((F.col("value") - F.col("m")) / F.col("s")))
     sensitive = F.col("category") == "sensitive"
     raw = z.groupBy("recording_id", "win_no", "calibration").agg(
         (F.sum(F.col("z") * F.col("w")) / F.sum("w")).alias("raw"),
@@ -519,7 +525,7 @@ def brb_score(spark: SparkSession, sf: str) -> DataFrame:
     )
     q = raw.where("calibration").groupBy("recording_id").agg(*[F.percentile("raw", F.lit(p)).alias(n) for p, n in ((0.95, "t"), (0.5, "m"), (0.75, "b"), (0.25, "a"))])
     q = q.select("recording_id", "t", F.greatest(F.col("t") - F.col("m"), F.col("b") - F.col("a"), F.lit(1e-6)).alias("scale"))
-    out = raw.join(F.broadcast(q), "recording_id")
+    out = raw.join(q, "recording_id")
     return out.select("recording_id", "win_no", r("raw", 5).alias("raw"), r(F.coalesce("degradation", "raw"), 5).alias("degradation"), r(S.envelope_health(F.col("raw"), F.col("t"), F.col("scale")), 5).alias("health"))
 
 
@@ -563,10 +569,10 @@ def binary_baseline(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def binary_event_score(spark: SparkSession, sf: str) -> DataFrame:
     w, base = _binary(spark, sf)
-    rate = w.join(F.broadcast(base), "recording_id").select("recording_id", "win_no", "calibration", A.mean(F.expr("transform(v, x -> if(x <> baseline, 1D, 0D))")).alias("raw"))
+    rate = w.join(base, "recording_id").select("recording_id", "win_no", "calibration", A.mean(F.expr("transform(v, x -> if(x <> baseline, 1D, 0D))")).alias("raw"))
     q = rate.where("calibration").groupBy("recording_id").agg(*[F.percentile("raw", F.lit(p)).alias(n) for p, n in ((0.95, "t"), (0.5, "m"), (0.75, "b"), (0.25, "a"))])
     q = q.select("recording_id", "t", F.greatest(F.col("t") - F.col("m"), F.col("b") - F.col("a"), F.lit(1 / QUERY_WINDOW)).alias("scale"))
-    return rate.join(F.broadcast(q), "recording_id").select("recording_id", "win_no", r("raw", 9).alias("raw"), r(S.envelope_health(F.col("raw"), F.col("t"), F.col("scale"))).alias("health"))
+    return rate.join(q, "recording_id").select("recording_id", "win_no", r("raw", 9).alias("raw"), r(S.envelope_health(F.col("raw"), F.col("t"), F.col("scale"))).alias("health"))
 
 
 @query
@@ -574,10 +580,35 @@ def event_rate_health(spark: SparkSession, sf: str) -> DataFrame:
     rows = D.binary(D.samples(spark, sf))
     w = S.with_calibration(W.sliding_windows(rows, QUERY_WINDOW, QUERY_STRIDE), rows).select("recording_id", "win_no", "calibration", A.change_rate(F.col("v")).alias("rate"))
     m = w.where("calibration").groupBy("recording_id").agg(F.percentile("rate", F.lit(0.5)).alias("m"))
-    w = w.join(F.broadcast(m), "recording_id").withColumn("off", F.abs(F.col("rate") - F.col("m")))
+    w = w.join(m, "recording_id").withColumn("off", F.abs(F.col("rate") - F.col("m")))
     q = w.where("calibration").groupBy("recording_id").agg(F.percentile("off", F.lit(0.5)).alias("low"), F.percentile("off", F.lit(0.95)).alias("high"))
     health = 1 - S.normalised(F.col("off"), F.col("low"), F.col("high"))
-    return w.join(F.broadcast(q), "recording_id").select("recording_id", "win_no", r(health).alias("health"), (health <= 0).alias("alarm"))
+    return w.join(q, "recording_id").select("recording_id", "win_no", r(health).alias("health"), (health <= 0).alias("alarm"))
+
+
+# selection of jobs ---------------------------------------------------------------------------------------------------
+
+
+def _orders(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/orders.parquet")
+
+
+@query
+def complete_jobs(spark: SparkSession, sf: str) -> DataFrame:
+    jobs = spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("job"))
+    orders = _orders(spark, sf).withColumnRenamed("o_custkey", "job")
+    return C.complete_jobs(jobs, [orders.where("o_orderkey % 3 = 0"), orders.where("o_orderkey % 3 = 1")], "job")
+
+
+@query
+def common_keys(spark: SparkSession, sf: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf}/events.parquet")
+    return C.common_keys(rows, "event_type", "user_id")
+
+
+@query
+def dataset_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
+    return C.fingerprint(_orders(spark, sf), "o_orderkey", "o_custkey")
 
 
 # fusion --------------------------------------------------------------------------------------------------------------
@@ -617,10 +648,10 @@ def geometric_fusion(spark: SparkSession, sf: str) -> DataFrame:
     h = _branch_health(spark, sf)
     w = S.reliability_weights(h, ["recording_id"])
     log = F.col("weight") * F.log(F.greatest(F.least("health", F.lit(1.0)), F.lit(1e-6)))
-    raw = h.join(F.broadcast(w), ["recording_id", "branch"]).groupBy("recording_id", "win_no").agg(F.exp(F.sum(log)).alias("raw"))
+    raw = h.join(w, ["recording_id", "branch"]).groupBy("recording_id", "win_no").agg(F.exp(F.sum(log)).alias("raw"))
     q = raw.groupBy("recording_id").agg(F.percentile("raw", F.lit(0.05)).alias("t"), F.percentile("raw", F.lit(0.5)).alias("m"))
     final = S.logistic_health(F.col("raw"), F.col("m"), F.col("t"), rising=True)
-    return raw.join(F.broadcast(q), "recording_id").select("recording_id", "win_no", r("raw").alias("raw"), r(final).alias("health"))
+    return raw.join(q, "recording_id").select("recording_id", "win_no", r("raw").alias("raw"), r(final).alias("health"))
 
 
 @query
@@ -628,9 +659,9 @@ def fused_score(spark: SparkSession, sf: str) -> DataFrame:
     v = calibrated(spark, sf).where("feature IN ('mean', 'rms', 'msd')")
     q = v.where("calibration").groupBy("recording_id", "feature").agg(F.percentile("value", F.lit(0.5)).alias("m"), F.percentile("value", F.lit(0.99)).alias("u"))
     n = S.normalised(F.col("value"), F.col("m"), F.col("u"))
-    shi = v.join(F.broadcast(q), ["recording_id", "feature"]).groupBy("recording_id", "win_no", "calibration").agg((1 - F.avg(n)).alias("shi"))
+    shi = v.join(q, ["recording_id", "feature"]).groupBy("recording_id", "win_no", "calibration").agg((1 - F.avg(n)).alias("shi"))
     low = shi.where("calibration").groupBy("recording_id").agg(F.percentile("shi", F.lit(0.05)).alias("low"))
-    return shi.join(F.broadcast(low), "recording_id").select("recording_id", "win_no", r("shi").alias("shi"), (F.round("shi", 9) < F.round("low", 9)).alias("breach"))
+    return shi.join(low, "recording_id").select("recording_id", "win_no", r("shi").alias("shi"), (F.round("shi", 9) < F.round("low", 9)).alias("breach"))
 
 
 @query
@@ -638,9 +669,9 @@ def reference_flags(spark: SparkSession, sf: str) -> DataFrame:
     w = ev_windows(spark, sf)
     x = w.select("recording_id", F.explode("v").alias("x"))
     m = x.groupBy("recording_id").agg(F.expr("percentile(x, 0.5)").alias("m"), F.stddev_pop("x").alias("s"))
-    d = x.join(F.broadcast(m), "recording_id").groupBy("recording_id", "m", "s").agg(F.expr("percentile(abs(x - m), 0.5)").alias("mad"))
+    d = x.join(m, "recording_id").groupBy("recording_id", "m", "s").agg(F.expr("percentile(abs(x - m), 0.5)").alias("mad"))
     scale = F.greatest(1.4826 * F.col("mad"), 0.1 * F.col("s"), F.lit(1e-9))
-    rows = w.join(F.broadcast(d), "recording_id")
+    rows = w.join(d, "recording_id")
     flags = M.pack_flags(A.mean(F.col("v")) < 20, F.lit(False), A.flat_fraction(F.col("v")) >= 0.98, F.abs(F.col("end_value") - F.col("m")) / scale > 3)
     return rows.select("recording_id", "win_no", flags.alias("flags"))
 
@@ -653,7 +684,7 @@ def mahalanobis_2d(spark: SparkSession, sf: str) -> DataFrame:
     a, b = F.col("mean") - F.col("ma"), F.col("rms") - F.col("mb")
     det = F.col("vaa") * F.col("vbb") - F.col("vab") * F.col("vab")
     d = (a * a * F.col("vbb") - 2 * a * b * F.col("vab") + b * b * F.col("vaa")) / det
-    return f.join(F.broadcast(c), "recording_id").select("recording_id", "win_no", r(d, 4).alias("d2"))
+    return f.join(c, "recording_id").select("recording_id", "win_no", r(d, 4).alias("d2"))
 
 
 def _feature_arrays(spark: SparkSession, sf: str) -> DataFrame:
@@ -695,7 +726,7 @@ def features_f22(spark: SparkSession, sf: str) -> DataFrame:
     from vigil.functions.features import extract
 
     rows = D.samples(spark, sf)
-    w = W.sliding_windows(rows, QUERY_WINDOW, QUERY_STRIDE).join(F.broadcast(W.first_window_rate(rows, QUERY_WINDOW)), "recording_id")
+    w = W.sliding_windows(rows, QUERY_WINDOW, QUERY_STRIDE).join(W.first_window_rate(rows, QUERY_WINDOW), "recording_id")
     return extract(w, ar=True)
 
 
@@ -747,7 +778,7 @@ def downsample(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def fault_slice(spark: SparkSession, sf: str) -> DataFrame:
-    rows = D.samples(spark, sf).join(F.broadcast(_interval(spark, sf)), "recording_id")
+    rows = D.samples(spark, sf).join(_interval(spark, sf), "recording_id")
     elapsed = (F.col("ts_ms") - F.col("start")) / 1000
     near = F.abs(F.col("ts_ms") - F.col("fault_start")) <= 86_400_000
     return rows.where(near).select("recording_id", "seq", r(elapsed, 3).alias("elapsed_s"), "x")
@@ -764,7 +795,7 @@ def _inject(kind: str, severity: float) -> None:
     def run(spark: SparkSession, sf: str) -> DataFrame:
         rows = D.samples(spark, sf)
         n = rows.groupBy("recording_id").agg(F.floor(F.max("seq") * 0.6).alias("onset"))
-        out = L.inject(rows.join(F.broadcast(n), "recording_id"), kind, F.col("onset"), severity, pre=20, seed=5)
+        out = L.inject(rows.join(n, "recording_id"), kind, F.col("onset"), severity, pre=20, seed=5)
         return out.select("recording_id", "seq", r("faulty").alias("faulty"), "label")
 
     run.__name__ = f"inject_{kind}"
@@ -986,6 +1017,14 @@ def class_report(spark: SparkSession, sf: str) -> DataFrame:
     return report(rows).select("class", *[r(c, 9).alias(c) for c in ("precision", "recall", "f1")], "support")
 
 
+@query
+def label_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    from vigil.operators.models import accuracy
+
+    rows = _labelled(spark, sf).withColumn("health", F.when(F.round("rms", 6) > 60, 0.25).otherwise(0.75))
+    return accuracy(rows, "recording_id").select("recording_id", "n", r("accuracy", 9).alias("accuracy"))
+
+
 def _model(spark: SparkSession, sf: str, kind: str, trees: int) -> DataFrame:
     from vigil.operators.models import healthy_probability, stratified_split, train
 
