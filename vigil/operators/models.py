@@ -2,30 +2,45 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
 def train(rows: DataFrame, names: list[str], kind: str = "forest", seed: int = 42, trees: int = 100) -> PipelineModel:
-    """Scales the features and fits on fault = (label > 0). Needs two rows of either class."""
-    rows = rows.withColumn("fault", (F.col("label") > 0).cast("double"))
-    n = rows.agg(F.count_if(F.col("fault") == 0).alias("a"), F.count_if(F.col("fault") == 1).alias("b")).first()
-    if min(n["a"], n["b"]) < 2:
-        raise ValueError("training needs at least two rows of either class")
+    """Scales the features and fits on fault = (label > 0).
+
+    Rows of one class alone give a model that knows no other. Rows with a feature that is null or not finite aren't
+    learned from; without any other row there is nothing to fit, and a ValueError.
+    """
+    # the two classes are named here, so that a fit doesn't depend on which of them the rows hold
+    fault = (F.col("label") > 0).cast("double").alias("fault", metadata={"ml_attr": {"name": "fault", "type": "nominal", "vals": ["0", "1"]}})
+    rows = rows.where(known_features(names)).select(*[c for c in rows.columns if c != "fault"], fault)
+    if rows.isEmpty():
+        raise ValueError("training needs a row whose features are all known")
     if kind == "forest":
         model = RandomForestClassifier(featuresCol="scaled", labelCol="fault", numTrees=trees, maxDepth=12, seed=seed)
     else:
         model = GBTClassifier(featuresCol="scaled", labelCol="fault", maxIter=trees, maxDepth=5, stepSize=0.3, seed=seed)
-    return Pipeline(stages=[VectorAssembler(inputCols=names, outputCol="vector"), StandardScaler(inputCol="vector", outputCol="scaled", withMean=True), model]).fit(rows)
+    vector = VectorAssembler(inputCols=names, outputCol="vector", handleInvalid="keep")
+    return Pipeline(stages=[vector, StandardScaler(inputCol="vector", outputCol="scaled", withMean=True), model]).fit(rows)
+
+
+def known_features(names: list[str]) -> Column:
+    """Every feature is a finite number."""
+    return reduce(and_, [F.coalesce(F.abs(F.col(x)) < float("inf"), F.lit(False)) for x in names])
 
 
 def healthy_probability(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """Adds health, the probability of the healthy class."""
-    return model.transform(rows).withColumn("health", vector_to_array("probability")[0]).drop("vector", "scaled", "rawPrediction", "probability", "prediction")
+    """Adds health, the probability of the healthy class; null where a feature is null or not finite."""
+    known = known_features(model.stages[0].getInputCols())
+    return model.transform(rows).withColumn("health", F.when(known, vector_to_array("probability")[0])).drop("vector", "scaled", "rawPrediction", "probability", "prediction")
 
 
 def stratified_split(rows: DataFrame, share: float = 0.8, seed: int = 42, key: str = "win_no", label: str = "label") -> DataFrame:

@@ -1026,9 +1026,11 @@ def label_accuracy(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _model(spark: SparkSession, sf: str, kind: str, trees: int) -> DataFrame:
-    from vigil.operators.models import healthy_probability, stratified_split, train
+    from vigil.operators.models import healthy_probability, known_features, stratified_split, train
 
     rows = stratified_split(_labelled(spark, sf).select("win_no", "label", *FEATURES)).cache()
+    if rows.where("train").where(known_features(FEATURES)).isEmpty():
+        return rows.select("win_no", "label", "train", F.lit(None).cast("double").alias("health"))
     model = train(rows.where("train"), FEATURES, kind, trees=trees)
     return healthy_probability(model, rows).select("win_no", "label", "train", "health")
 
