@@ -142,7 +142,8 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, hash_bits: int = 64) ->
     drop(often)
     place = ["doc_id", "t1"]
     want = again.groupBy(*place).agg(F.collect_set(F.struct("h1", "h2", "line", "start", "end")).alias("want"))
-    texts = slim.join(want, place).mapInArrow(_bytes, "h1 long, h2 long, doc_id long, t1 long, line long, bytes binary")
+    # texts are joined by sorting at any size: what is wanted of them grows with the documents
+    texts = slim.join(want.hint("merge"), place).mapInArrow(_bytes, "h1 long, h2 long, doc_id long, t1 long, line long, bytes binary")
     first = texts.groupBy("h1", "h2", "bytes").agg(F.min(F.struct("doc_id", "t1", "line")).alias("first"))
     first = first.groupBy("h1", "h2").agg(F.collect_list("first").alias("first"))
     # joined twice where there are heavy keys
@@ -152,7 +153,7 @@ def dedup_lines(docs: DataFrame, divisor: int = DIVISOR, hash_bits: int = 64) ->
     gone = stored(gone, "gone")
     drop(again)
     drop(first)
-    joined = keyed.join(gone, ["_vigil_id", "_vigil_t1"], "left")
+    joined = keyed.join(gone.hint("merge"), ["_vigil_id", "_vigil_t1"], "left")
     added = {"n_lines": "long", "n_removed_lines": "long"}
     kinds = {f.name: "string" if f.name == "text" else "long" if f.name == "n_chars" else f.dataType.simpleString() for f in docs.schema} | added
     return joined.mapInArrow(_cut(list(kinds)), ", ".join(f"`{k}` {v}" for k, v in kinds.items()))
