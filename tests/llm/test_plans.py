@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from vigil.llm import line_dedup
+from vigil.llm import line_dedup, minhash_dedup
 
 PASSAGE = "one line of a passage\nanother line of it\na third line\nand a fourth\n"
 
@@ -26,3 +26,11 @@ def test_line_dedup_joins_texts_by_sorting(spark, docs, monkeypatch):
     assert "SortMergeJoin" in plan(out) and "BroadcastHashJoin" not in plan(out)
     removed = [r["n_removed_lines"] for r in out.collect()]
     assert len(removed) == 20 and sum(x > 0 for x in removed) > 10
+
+
+def test_near_dedup_joins_texts_by_sorting(spark, docs):
+    same = docs.selectExpr("doc_id", "if(doc_id < 15, 'the same words for all of the first ones', text) AS text")
+    for rows in (same, same.union(same.where("doc_id = 1"))):
+        out = minhash_dedup.keep_one(rows, 90)
+        assert "SortMergeJoin" in plan(out) and "BroadcastHashJoin" not in plan(out)
+        assert out.count() == 6

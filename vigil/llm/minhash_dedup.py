@@ -252,10 +252,11 @@ def keep_one(docs: DataFrame, percent: int = 85) -> DataFrame:
     twice = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1")
     if twice.isEmpty():
         gone = near_duplicates(docs, percent).where("not kept").select("doc_id").distinct()
-        return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+        # always by sorting: the list of ids grows with the documents
+        return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(*docs.columns)
     rows = docs.where("doc_id is not null").withColumn("_vigil_mark", F.xxhash64("text")).repartitionByRange("doc_id", "_vigil_mark").sortWithinPartitions("doc_id", "_vigil_mark")
     # numbers follow the order of ids; they are written, so no later run of a task can give others
     rows = stored(rows.withColumn("_vigil_row", F.monotonically_increasing_id()), "rows")
     near = near_duplicates(rows.select(F.col("_vigil_row").alias("doc_id"), "text"), percent)
     gone = near.where("not kept").select(F.col("doc_id").alias("_vigil_row")).distinct()
-    return rows.join(gone, "_vigil_row", "left_anti").select(*docs.columns).union(docs.where("doc_id is null"))
+    return rows.join(gone.hint("merge"), "_vigil_row", "left_anti").select(*docs.columns).union(docs.where("doc_id is null"))
